@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import packing, token_files
+from strophe.llm import packing, pii, quality, token_files, toxicity
 from strophe.llm.common import documents
 
 
@@ -17,14 +17,58 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2048, 1)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labelled rows that are not held out."""
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data."""
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base measures and the cascade's verdict."""
+    out = quality.assess(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as token files and read back from them."""
     return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, keep_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op9_token_files)}
+    return {f.__name__: f for f in (op2_packing, op3_toxicity, op5_pii, op6_quality_rules, op9_token_files)}
+
+
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+           FROM documents),
+tri AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY doc_id),
+m AS (SELECT doc_id, t, w, lines, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+      FROM d LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id::BIGINT AS doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT (base_failed
+            OR n_symbols > 0.1 * n_words
+            OR word_chars > 20 * n_words
+            OR word_chars < 2 * n_words
+            OR len(list_filter(w, x -> regexp_matches(x, '\p{{L}}'))) < 0.6 * n_words
+            OR len(regexp_extract_all(t, '\p{{Lu}}')) > 0.5 * len(regexp_extract_all(t, '\p{{L}}'))
+            OR len(regexp_extract_all(t, '(?:…|\.\.\.)[\x20\x09-\x0D]*(?:\n|$)')) > greatest(3, 0.3 * len(string_split(t, chr(10))))
+            OR n_dup_lines > 0.5 * len(lines)) AS kept
+FROM b
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": OP6_SQL}

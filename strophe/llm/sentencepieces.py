@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Different words, and pairs of pieces, that a worker remembers; beyond it the table starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 REMEMBERED_LENGTH = 64
 #: Characters of text whose words are walked as one trie.
 TRIE_CHARS = 4_000_000
@@ -57,8 +57,12 @@ class Encoder:
         aside = {*model.special, *model.byte_ids}
         self.ids = {p: i for i, p in enumerate(model.pieces) if i not in aside}
         self.bytes = {int(model.pieces[i][3:5], 16): i for i in model.byte_ids}
-        self.longest = max(map(len, self.ids), default=1)
         self.letters = {p for p in self.ids if len(p) == 1}
+        tails: dict[str, set[int]] = {}
+        for p in self.ids:
+            tails.setdefault(p[-3:], set()).add(len(p))
+        #: Lengths of pieces, long ones first, by the three letters that they end in.
+        self.tails = {t: tuple(sorted(n | {1, 2}, reverse=True)) for t, n in tails.items() if len(t) == 3}
         self.strange = re.compile("[^" + "".join(re.escape(c) for c in sorted(self.letters)) + "]")
         self.follows: dict[tuple[str, str], bool] = {}
         self.first: dict[str, bytes] = {}
@@ -108,7 +112,7 @@ class Encoder:
     def walk(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of different words of known letters, sorted: one depth-first pass over their trie."""
         out: dict[str, list[int]] = {}
-        ids, follows, bpe, score = self.ids, self.follows, self.model.bpe, self.model.scores
+        ids, follows, bpe, score, tails = self.ids, self.follows, self.model.bpe, self.model.scores, self.tails
         last, best, previous = [""], [0.0], ""
         for word in words:
             shared = 0
@@ -120,9 +124,9 @@ class Encoder:
             previous = word
             for end in range(shared + 1, len(word) + 1):
                 found, top = "", -1e300
-                for start in range(max(0, end - self.longest), end):
-                    piece = word[start:end]
-                    if piece not in ids:
+                for length in tails.get(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                    start = end - length
+                    if start < 0 or (piece := word[start:end]) not in ids:
                         continue
                     if bpe:
                         pair = (last[start], piece)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import packing, pii, quality, token_files, toxicity
+from strophe.llm import chat, packing, pii, quality, sentencepieces, token_files, topk, toxicity
 from strophe.llm.common import documents
 
 
@@ -33,13 +33,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all other vectors."""
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5, 256)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, and whether they decode to it."""
+    return sentencepieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False, decoded=True)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as token files and read back from them."""
     return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, keep_ids=False)
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation, rendered."""
+    return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_toxicity, op5_pii, op6_quality_rules, op9_token_files)}
+    return {f.__name__: f for f in (op2_packing, op3_toxicity, op5_pii, op6_quality_rules, op7_topk_search, op8_sentencepiece, op9_token_files, op10_chat_formatting)}
 
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
@@ -70,5 +85,24 @@ FROM b
 """
 
 
+OP7_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id::BIGINT AS query_id, rank::INTEGER AS rank, vec_id::BIGINT AS vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP10_SQL = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+                  '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS said FROM conversations),
+p AS (SELECT conv_id, place, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY place) AS text, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t),
+whole AS (SELECT conv_id, n_turns, text FROM p WHERE place = n_turns)
+SELECT min(conv_id)::BIGINT AS conv_id, n_turns::BIGINT AS n_turns, text
+FROM whole WHERE (text, n_turns) NOT IN (SELECT (text, place) FROM p WHERE place < n_turns) GROUP BY n_turns, text
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL}
+    return {"op6_quality_rules": OP6_SQL, "op7_topk_search": OP7_SQL, "op10_chat_formatting": OP10_SQL}

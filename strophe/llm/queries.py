@@ -57,11 +57,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op2_packing, op3_toxicity, op5_pii, op6_quality_rules, op7_topk_search, op8_sentencepiece, op9_token_files, op10_chat_formatting)}
 
 
-WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
            FROM documents),
 tri AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 twice AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
@@ -77,7 +77,7 @@ SELECT doc_id::BIGINT AS doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT
             OR n_symbols > 0.1 * n_words
             OR word_chars > 20 * n_words
             OR word_chars < 2 * n_words
-            OR len(list_filter(w, x -> regexp_matches(x, '\p{{L}}'))) < 0.6 * n_words
+            OR len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) < 0.6 * n_words
             OR len(regexp_extract_all(t, '\p{{Lu}}')) > 0.5 * len(regexp_extract_all(t, '\p{{L}}'))
             OR len(regexp_extract_all(t, '(?:…|\.\.\.)[\x20\x09-\x0D]*(?:\n|$)')) > greatest(3, 0.3 * len(string_split(t, chr(10))))
             OR n_dup_lines > 0.5 * len(lines)) AS kept
@@ -86,9 +86,9 @@ FROM b
 
 
 OP7_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2]))::BIGINT AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id::BIGINT AS query_id, rank::INTEGER AS rank, vec_id::BIGINT AS vec_id, score FROM r WHERE rank <= 5

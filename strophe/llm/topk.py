@@ -81,19 +81,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
     blocks, groups = max(1, -(-n // CANDIDATES)), max(1, -(-asked // QUERIES))
     at = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
-    candidates = rows.select(at(blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "row", "vec_id", "v")
+    candidates = rows.select(at(blocks).alias("b2"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g2"), *[F.col(c).alias(f"{c}2") for c in ("row", "vec_id", "v")])
     queries = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), at(groups).alias("g"), "row", "vec_id", "v")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
-        dims = max(map(len, [*left["v"], *right["v"]]))
+        dims = max(map(len, [*left["v"], *right["v2"]]))
         wide = lambda c: np.stack([np.pad(np.asarray(v, np.int64), (0, dims - len(v))) for v in c])
-        ids = right["vec_id"].to_numpy()
-        found = search_block(wide(left["v"]), left["row"].to_numpy(), wide(right["v"]), right["row"].to_numpy(), ids, k)
+        ids = right["vec_id2"].to_numpy()
+        found = search_block(wide(left["v"]), left["row"].to_numpy(), wide(right["v2"]), right["row2"].to_numpy(), ids, k)
         q, c, score = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
         return pd.DataFrame({"query_row": left["row"].to_numpy()[q], "query_id": left["vec_id"].to_numpy()[q], "vec_id": ids[c], "score": score})
 
-    found = queries.groupBy("b", "g").cogroup(candidates.groupBy("b", "g")).applyInPandas(search, "query_row long, query_id long, vec_id long, score long")
+    found = queries.groupBy("b", "g").cogroup(candidates.groupBy("b2", "g2")).applyInPandas(search, "query_row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -70,8 +70,8 @@ def entries_of(word: str) -> list[str]:
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
-    #: Of 1, log(1 + weight per 1000 words), log(1 + hits): the logistic's coefficients.
-    coefficients: tuple[float, float, float] = (-4.0, 1.0, 1.0)
+    #: Of 1, log(1 + weight per 1000 words), log(1 + hits) and the heaviest hit: the logistic's coefficients.
+    coefficients: tuple[float, ...] = (-4.0, 1.0, 1.0, 0.0)
 
     def matcher(self) -> Matcher:
         return Matcher(self)
@@ -106,15 +106,15 @@ class Matcher:
                 del found[start]
         return found
 
-    def features(self, folded: str) -> tuple[float, float]:
-        found = self.hits(folded)
+    def features(self, folded: str) -> tuple[float, ...]:
+        weights = [w for _, w in self.hits(folded).values()]
         words = max(1, folded.count(" ") - 1)
-        return math.log1p(1000 * sum(w for _, w in found.values()) / words), math.log1p(len(found))
+        return math.log1p(1000 * sum(weights) / words), math.log1p(len(weights)), max(weights, default=0.0)
 
     def score(self, text: str | None) -> float:
-        a, b, c = self.lexicon.coefficients
-        x, y = self.features(fold(text or ""))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * x + c * y))))
+        bias, *weights = self.lexicon.coefficients
+        odds = bias + sum(w * x for w, x in zip(weights, self.features(fold(text or "")), strict=True))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,21 +152,24 @@ def _counted(rows: DataFrame, of, keep: int) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), limit: int = TRAINING_ROWS) -> Lexicon:
     """Fit a lexicon. What reaches the driver is bounded: LEXICON_ENTRIES entries, EXCEPTIONS phrases and
-    three numbers for each of at most ``limit`` rows. Without toxic or without other labelled rows it is empty."""
+    four numbers for each of at most ``limit`` rows. Without toxic or without other labelled rows it is empty."""
     rows = common.cut(training_rows(docs, labels, limit))
     counted = common.cut(_counted(rows, lambda folded: {e for w in set(folded.split()) for e in entries_of(w)}, 5))
     total = counted.where("key = ''").first()
     if total is None or not total["bad"] or not total["fine"]:
-        return Lexicon(coefficients=(-4.0, 0.0, 0.0))
+        return Lexicon(coefficients=(-4.0, 0.0, 0.0, 0.0))
     bad, fine = float(total["bad"]), float(total["fine"])
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("fine") + 0.5) / (fine + 1))
     spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("fine") + 0.5))
     strong = counted.where("key <> ''").withColumn("weight", weight).where((F.col("weight") > 1.5) & (weight / spread > 4) & (F.col("bad") >= 5))
     found = strong.orderBy(F.desc(weight / spread), "key").limit(LEXICON_ENTRIES).collect()
+    support = {r["key"]: r["bad"] for r in found}
+    #: Beginnings that nearly always go on in one and the same way say no more than what they go on to.
+    dull = {k[:n] for k, n_bad in support.items() for n in range(2, len(k)) if n_bad >= 0.9 * support.get(k[:n], math.inf)}
     weights: dict[str, float] = {}
     for r in sorted(found, key=lambda r: (len(r["key"]), r["key"])):
         shorter = max((weights[r["key"][:n]] for n in range(2, len(r["key"])) if r["key"][:n] in weights), default=0.0)
-        if r["weight"] > shorter + 0.7:  # else a shorter beginning says as much
+        if r["key"] not in dull and r["weight"] > shorter + 0.7:  # else a shorter beginning says as much
             weights[r["key"]] = r["weight"]
     lexicon = Lexicon(weights, tuple(fold(x) for x in exceptions))
 
@@ -186,21 +189,20 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
         matcher = lexicon.matcher()
         for batch in batches:
             out = [(*matcher.features(fold(text or "")), float(toxic)) for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64()) for c in (zip(*out, strict=True) if out else ((), (), ()))], ["x", "y", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64()) for c in (zip(*out, strict=True) if out else ((), (), (), ()))], ["x", "y", "z", "toxic"])
 
-    data = rows.mapInArrow(features, "x double, y double, toxic double").toPandas().to_numpy()
-    lexicon.coefficients = logistic(data[:, :2], data[:, 2])
+    data = rows.mapInArrow(features, "x double, y double, z double, toxic double").toPandas().to_numpy()
+    lexicon.coefficients = logistic(data[:, :3], data[:, 3])
     return lexicon
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> tuple[float, float, float]:
-    """Ridge logistic regression by Newton steps; both classes weigh the same, so 0.5 is the even threshold."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> tuple[float, ...]:
+    """Ridge logistic regression by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
-    each = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * len(y)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (each * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * len(y) * 1e-3 * np.eye(len(w)), x.T @ (each * (y - p)) - ridge * len(y) * 1e-3 * w)
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + ridge * len(y) * 1e-3 * np.eye(len(w)), x.T @ (y - p) - ridge * len(y) * 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break

@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import chat, packing, pii, quality, sentencepieces, token_files, topk, toxicity
+from strophe.llm import chat, ngram_join, packing, pii, quality, sentencepieces, token_files, topk, toxicity
 from strophe.llm.common import documents
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies (five words, similarity 0.8) and its number of links."""
+    return ngram_join.join(documents(spark, sf_dir), 5, 0.8)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into pieces and packed into sequences of 2048 tokens."""
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2048, 1)
@@ -54,11 +59,23 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_toxicity, op5_pii, op6_quality_rules, op7_topk_search, op8_sentencepiece, op9_token_files, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_toxicity, op5_pii, op6_quality_rules, op7_topk_search, op8_sentencepiece, op9_token_files, op10_chat_formatting)}
 
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", "lower(coalesce(text, ''))")} AS w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))
+                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+r AS (WITH RECURSIVE t(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, min(b) AS b FROM t GROUP BY a)
+SELECT d.doc_id::BIGINT AS doc_id, r.b::BIGINT AS class_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id)::BIGINT AS n_links
+FROM d JOIN r ON r.a = d.doc_id
+"""
+
 OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
@@ -105,4 +122,4 @@ FROM whole WHERE (text, n_turns) NOT IN (SELECT (text, place) FROM p WHERE place
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL, "op7_topk_search": OP7_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op6_quality_rules": OP6_SQL, "op7_topk_search": OP7_SQL, "op10_chat_formatting": OP10_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import chat, ngram_join, packing, pii, quality, sentencepieces, token_files, topk, toxicity
+from strophe.llm import chat, line_dedup, ngram_join, packing, pii, quality, sentencepieces, token_files, topk, toxicity
 from strophe.llm.common import documents
 
 
@@ -27,6 +27,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that near copies elsewhere repeat."""
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines_removed", "text")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data."""
     return pii.digest(pii.find(documents(spark, sf_dir)))
@@ -59,7 +64,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_toxicity, op5_pii, op6_quality_rules, op7_topk_search, op8_sentencepiece, op9_token_files, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_toxicity, op4_line_dedup, op5_pii, op6_quality_rules, op7_topk_search, op8_sentencepiece, op9_token_files, op10_chat_formatting)}
 
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"

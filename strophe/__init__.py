@@ -1,0 +1 @@
+"""strophe: corpus analytics for collections of line-structured texts on Spark."""

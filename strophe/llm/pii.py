@@ -241,7 +241,8 @@ def digest(spans: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(k) for k in KINDS])
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
-    n = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE_KINDS)]
+    of_kind = lambda k: F.filter("spans", lambda s: s["base"] & (s["kind"] == k))
+    n = [F.size(of_kind(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE_KINDS)]
     return spans.select("doc_id", *n, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 

@@ -173,4 +173,31 @@ def merged_by_lemma(words: DataFrame) -> DataFrame:
     return words.groupBy("lemma").agg(F.sum("freq").alias("freq"), F.max("songs").alias("songs"), parts.alias("pos"))
 
 
+def common_surface(tokens: DataFrame) -> DataFrame:
+    """lemma, pos, surface and n: each word's most frequent spelling, the first of equal ones."""
+    counts = tokens.groupBy("lemma", "pos", "surface").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("lemma", "pos").orderBy(F.desc("n"), "surface"))
+    return counts.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+def ngram_dispersion(tokens: DataFrame, n: int = 2, unit: str = TOKENS, min_freq: int = 2) -> DataFrame:
+    """``dispersion`` of n-grams of at least ``min_freq``: places and songs' sizes are those of all tokens."""
+    placed = S.positions(S.counted(tokens, unit))
+    parts = placed.groupBy("song_id").agg(F.first("size").alias("size"))
+    line = Window.partitionBy("song_id", "line_idx").orderBy("idx")
+    whole, words = F.lit(True), [F.col("lemma")]
+    for k in range(1, n):
+        whole &= F.lead("lemma", k).over(line).isNotNull() & ~F.lead("gap_before", k).over(line)
+        words.append(F.lead("lemma", k).over(line))
+    rows = placed.select("song_id", "bucket", "size", "at", F.array_join(F.array(*words), " ").alias("words"), whole.alias("ok")).where("ok")
+    often = rows.groupBy("words").agg(F.count("*").alias("n")).where(F.col("n") >= min_freq).select("words")
+    return dispersion_at(rows.join(often, "words", "left_semi"), ["words"], parts)
+
+
+def pick_words(tokens: DataFrame, pos: tuple[str, ...], least: int, known: DataFrame | None = None) -> DataFrame:
+    """Words worth a card: lemma, freq, songs of the given parts of speech from ``least`` on, without those in ``known``."""
+    out = tokens.where(F.col("pos").isin(*pos)).groupBy("lemma", "song_id").agg(F.count("*").alias("n")).groupBy("lemma").agg(F.sum("n").alias("freq"), F.count("*").alias("songs")).where(F.col("freq") >= least)
+    return out.join(known.select("lemma"), "lemma", "left_anti") if known is not None else out
+
+
 __all__ = ["DISTINCT_LINES", "TOKENS"]

@@ -140,3 +140,21 @@ def completeness(works: DataFrame, credits: DataFrame) -> DataFrame:
     sums = rows.agg(F.count("*").alias("total"), *[F.count_if(c).alias(k) for k, c in kinds.items()])
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("done")) for k in kinds])).alias("x")
     return sums.select(each, "total").select("x.kind", "x.done", "total")
+
+
+def tracks(songs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Songs with their number of lines, songs without lines too."""
+    per = lines.groupBy("song_id").agg(F.count("*").alias("line_count"))
+    return songs.select("song_id", "artist").join(per, "song_id", "left").fillna(0, ["line_count"])
+
+
+def source_counts(songs: DataFrame, removed: DataFrame, by: str) -> DataFrame:
+    """Songs in the library and removed ones for each value of a column."""
+    gone = removed.select("song_id").distinct().withColumn("_gone", F.lit(True))
+    return songs.join(gone, "song_id", "left").groupBy(by).agg(F.count_if(F.col("_gone").isNull()).alias("in_library"), F.count_if(F.col("_gone")).alias("removed"))
+
+
+def roster(songs: DataFrame, separator: str = "/") -> DataFrame:
+    """Names in a list-valued artist field and the number of tracks that name each."""
+    each = F.explode(F.array_distinct(F.split("artist", separator))).alias("name")
+    return songs.select("song_id", each).where("name <> ''").groupBy("name").agg(F.count("*").alias("tracks"))

@@ -87,6 +87,14 @@ def kwic(lines: DataFrame, keywords: tuple[str, ...], attribute: str = "lemma",
     return out.orderBy("artist", "song_id", "line_idx", "token_idx").limit(limit) if limit and limit > 0 else out
 
 
+def sorted_hits(hits: DataFrame, sides: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` hits by the words on the given sides (nearest word first), numbered; ties by song, line and place."""
+    keys = [F.lower(f"{side}_words") for side in sides]
+    order = [*keys, "song_id", "line_idx", "token_idx"]
+    top = hits.orderBy(*order).limit(limit)  # a bounded top-k
+    return top.withColumn("nth", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 # ---- token patterns ----
 
 

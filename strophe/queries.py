@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.functions import measures, text
-from strophe.operators import association, frequency, lexical, library, plays, resolve, search, timeline
+from strophe.operators import association, frequency, lexical, library, plays, resolve, runs, search, timeline
 from strophe.plans import scope, stream
 from strophe.sources import tables as T
 
@@ -658,3 +658,87 @@ def src_choose(spark, sf_dir):
     rank = lambda c, values: F.coalesce(*[F.when(F.col(c) == v, F.lit(k)) for k, v in enumerate(values)], F.lit(len(values)))
     s = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("song_id"), F.col("l_linenumber").cast("long").alias("id"), rank("l_returnflag", ["R", "A"]).alias("kind_rank"), rank("l_linestatus", ["O"]).alias("precision_rank"), F.col("l_shipdate").alias("made"))
     return resolve.best_source(s)
+
+
+# ---- work-lists, rosters, runs ----
+
+
+@query(TOK + " SELECT lemma, pos, surface, n FROM (SELECT lemma, pos, surface, count(*) AS n, row_number() OVER (PARTITION BY lemma, pos ORDER BY count(*) DESC, surface) AS r FROM kept GROUP BY lemma, pos, surface) WHERE r = 1")
+def agg_common_surface(spark, sf_dir):
+    return frequency.common_surface(tokens(spark, sf_dir))
+
+
+@query(with_("lines") + " SELECT d.doc_id AS song_id, d.source AS artist, count(line_idx) AS line_count FROM documents d LEFT JOIN lines ON lines.song_id = d.doc_id GROUP BY ALL")
+def lib_tracks(spark, sf_dir):
+    return library.tracks(T.songs(spark, sf_dir), T.lines(spark, sf_dir))
+
+
+@query("SELECT source AS artist, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) AS in_library, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)) AS removed FROM documents GROUP BY source")
+def agg_source_counts(spark, sf_dir):
+    return library.source_counts(T.songs(spark, sf_dir), T.removed_songs(spark, sf_dir), "artist")
+
+
+@query("SELECT doc_id AS song_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def agg_needs_annotation(spark, sf_dir):
+    return scope.live(T.songs(spark, sf_dir), T.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("song_id"))).select("song_id")
+
+
+@query("SELECT name, count(*) AS tracks FROM (SELECT p_partkey, unnest(list_distinct(string_split(p_type, ' '))) AS name FROM part) GROUP BY name")
+def agg_artist_roster(spark, sf_dir):
+    return library.roster(T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("song_id"), F.col("p_type").alias("artist")), " ")
+
+
+@query(TOK + """,
+a AS (SELECT lemma, pos, count(*) AS n FROM kept WHERE language = 'en' GROUP BY ALL), b AS (SELECT lemma, pos, count(*) AS n FROM kept WHERE language = 'fr' GROUP BY ALL)
+SELECT lemma, pos, coalesce(a.n, 0) AS left_freq, coalesce(b.n, 0) AS right_freq, coalesce(b.n, 0) - coalesce(a.n, 0) AS difference FROM a FULL JOIN b USING (lemma, pos) WHERE coalesce(b.n, 0) <> coalesce(a.n, 0) ORDER BY abs(coalesce(b.n, 0) - coalesce(a.n, 0)) DESC, lemma, pos LIMIT 200""")
+def run_compare(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    return runs.compare_words(*[frequency.word_frequency(t.where(F.col("language") == x), None) for x in ("en", "fr")])
+
+
+@query(with_("lines", "tokens", "kept") + " SELECT (SELECT count(DISTINCT song_id) FROM lines) AS songs, (SELECT count(*) FROM lines) AS lines, (SELECT max(song_id) FROM lines) AS last_song, (SELECT max(line_idx)::BIGINT FROM lines) AS last_line, (SELECT count(*) FROM kept) AS tokens")
+def agg_snapshot(spark, sf_dir):
+    return runs.snapshot(T.lines(spark, sf_dir), tokens(spark, sf_dir)).drop("fingerprint")
+
+
+@query("""SELECT CASE WHEN a THEN 'left' ELSE 'right' END AS side, song_id FROM (SELECT DISTINCT doc_id AS song_id, lang = 'en' AS a, source = 'src0' AS b FROM documents) WHERE a <> b""")
+def run_scope_diff(spark, sf_dir):
+    s = T.songs(spark, sf_dir)
+    return runs.scope_difference(s.where("language = 'en'"), s.where("artist = 'src0'"))
+
+
+@query("""WITH p AS (SELECT page_id, url, string_split(url, '/') AS x FROM pages), r AS (SELECT DISTINCT array_to_string(x[1:3], '/') AS root FROM p UNION SELECT DISTINCT array_to_string(x[1:4], '/') FROM p WHERE len(x) > 4)
+SELECT DISTINCT url AS path, CASE WHEN len(x) >= 4 AND array_to_string(x[1:4], '/') IN (SELECT root FROM r) THEN array_to_string(x[1:4], '/') ELSE array_to_string(x[1:3], '/') END AS root FROM p""")
+def join_longest_prefix(spark, sf_dir):
+    """Roots are all hosts, and first folders of pages that lie deeper."""
+    p = T.table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.split("url", "/").alias("x"))
+    cut = lambda n: F.array_join(F.slice("x", 1, n), "/").alias("root")
+    roots = p.select(cut(3)).union(p.where(F.size("x") > 4).select(cut(4))).distinct()
+    return resolve.longest_prefix(p.select("path").distinct(), roots)
+
+
+@query(TOK + """,
+g AS (SELECT song_id, line_idx, idx, lemma || ' ' || lead(lemma) OVER w AS words, lead(lemma) OVER w IS NOT NULL AND NOT lead(gap_before) OVER w AS ok, row_number() OVER (ORDER BY song_id, line_idx, idx) - 1 AS place FROM kept WINDOW w AS (PARTITION BY song_id, line_idx ORDER BY idx)),
+p AS (SELECT song_id, words, place FROM g WHERE ok), z AS (SELECT song_id, count(*) AS size FROM kept GROUP BY song_id), t AS (SELECT sum(size)::DOUBLE AS n FROM z),
+f AS (SELECT words, count(*) AS freq FROM p GROUP BY words HAVING count(*) >= 20), v AS (SELECT words, song_id, count(*) AS v FROM p GROUP BY ALL),
+d AS (SELECT words, sum(abs(v / freq - size / n)) AS off, sum(size / n) AS covered FROM v JOIN z USING (song_id) JOIN f USING (words), t GROUP BY words),
+h AS (SELECT words, freq, n, lead(place) OVER w - place AS gap, first_value(place) OVER w + n - place AS around FROM p JOIN f USING (words), t WINDOW w AS (PARTITION BY words ORDER BY place)),
+a AS (SELECT words, sum(least(coalesce(gap, around), n / freq) / (n / freq)) AS arf FROM h GROUP BY words)
+SELECT words, freq, round(greatest(0, least(1, 0.5 * (off + greatest(0, 1 - covered)))), 6) AS dp, round(arf, 6) AS arf FROM d JOIN f USING (words) JOIN a USING (words)""")
+def corp_ngram_dispersion(spark, sf_dir):
+    return rounded(frequency.ngram_dispersion(tokens(spark, sf_dir), 2, min_freq=20).select("words", "freq", "dp", "arf"))
+
+
+@query(LT + """,
+k AS (SELECT * FROM tokens WHERE pos NOT IN ('PUNCT', 'SYM')), h AS (SELECT song_id, line_idx, token_idx FROM k WHERE lemma = 'worthless'),
+n AS (SELECT song_id, line_idx, token_idx, lead(lemma) OVER (PARTITION BY song_id, line_idx ORDER BY token_idx) AS after FROM k)
+SELECT h.song_id, h.line_idx::BIGINT AS line_idx, h.token_idx::BIGINT AS token_idx, row_number() OVER (ORDER BY coalesce(after, ''), h.song_id, h.line_idx, h.token_idx) AS nth FROM h JOIN n USING (song_id, line_idx, token_idx) ORDER BY nth LIMIT 40""")
+def kwic_sort(spark, sf_dir):
+    """The first forty hits by the word to the right."""
+    hits = search.kwic(T.lines(spark, sf_dir), ("worthless",), context=1)
+    return search.sorted_hits(hits, ["right"], 40).select("song_id", "line_idx", "token_idx", "nth")
+
+
+@query(TOK + " SELECT lemma, count(*) AS freq, count(DISTINCT song_id) AS songs FROM kept WHERE pos = 'NOUN' GROUP BY lemma HAVING count(*) >= 5")
+def pick_words(spark, sf_dir):
+    return frequency.pick_words(tokens(spark, sf_dir), ("NOUN",), 5)

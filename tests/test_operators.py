@@ -267,3 +267,24 @@ def test_plays_of_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = [(r.song_id, r.listened_sec, r.completed) for r in spark.table("plays_out").orderBy("started").collect()]
     assert got == [(1, 19.0, True), (3, 7.0, False)]
+
+
+def test_corpus_object(spark, sf_dir):
+    from strophe.corpus import Corpus
+    from strophe.plans.scope import Subcorpus
+    from strophe.sources import tables
+
+    corpus = Corpus.at(spark, sf_dir)
+    english = corpus.within(Subcorpus(languages=("en",)))
+    assert 0 < english.lines.count() < corpus.lines.count() and english.keyness(corpus.within(Subcorpus(languages=("fr",))), limit=5).count() == 10
+    assert corpus.without(tables.removed_songs(spark, sf_dir)).songs.count() < corpus.songs.count()
+    assert corpus.kwic("the", limit=3).count() == 3 and corpus.overview().count() == 1
+
+
+def test_archived_runs_repeat(spark, sf_dir):
+    from strophe.corpus import Corpus
+    from strophe.operators import runs
+
+    corpus = Corpus.at(spark, sf_dir)
+    made = [runs.archive(corpus.frequency(limit=20).orderBy("lemma", "pos"), "frequency", {"limit": 20}, "everything", corpus.snapshot()).first() for _ in range(2)]
+    assert made[0].run_id == made[1].run_id and made[0].result_hash == made[1].result_hash

@@ -108,8 +108,7 @@ def test_bands_reach_the_recall():
 
 
 def norm(line):
-    line = re.sub(r"\d", "0", line.lower())
-    return re.sub(r"[^a-zà-öø-ÿ0]+", " ", line).strip(" ")
+    return re.sub(r"[^a-zà-öø-ÿ]+", " ", line.lower()).strip(" ")
 
 
 def edits(a, b):
@@ -130,7 +129,7 @@ def test_line_dedup_equals_brute_force(docs_of, prose, spark):
         for _ in range(rng.randint(1, 5)):
             words = rng.choice(lines).split()
             for _ in range(rng.choice([0, 0, 1, 2])):
-                words[rng.randrange(len(words))] = "new" + str(rng.randrange(50))
+                words[rng.randrange(len(words))] = "new" + rng.choice("abcdefghijklmnopqrst") * 3
             line = " ".join(words)
             text.append(line.upper() + "!" if rng.random() < 0.2 else line)
         rows.append((d, "\n".join([*text, "short line", ""])))
@@ -164,10 +163,10 @@ def test_line_dedup_odd_rows(docs_of, odd_rows, prose):
 
 
 def test_simhash_by_definition(docs_of, prose):
-    rows = line_dedup.different_lines(line_dedup.occurrences(docs_of([(1, prose(3, 64))]), 5))
-    exploded = rows.select("norm", "h", F.explode(F.split("norm", " ")).alias("w")).select("norm", "h", F.xxhash64("w").alias("x")).collect()
+    rows = line_dedup.different_lines(line_dedup.occurrences(docs_of([(1, prose(3, 64)), (2, prose(4, 400).replace("\n", " "))]), 5))
+    exploded = rows.select("norm", "h", F.explode(F.split("norm", " ")).alias("w")).select("norm", "h", "w", F.xxhash64("w").alias("x")).collect()
     for text in {r.norm for r in exploded}:
-        words = [r.x for r in exploded if r.norm == text]
+        words = [r.x for r in exploded if r.norm == text and len(r.w) > 3]
         want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in words) > len(words))
         assert next(r.h for r in exploded if r.norm == text) & (2**64 - 1) == want
 

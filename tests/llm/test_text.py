@@ -154,6 +154,33 @@ def test_line_dedup_equals_brute_force(docs_of, prose, spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == want
 
 
+def test_line_links_connect_every_similar_pair(docs_of, spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(400)]
+    lines = []
+    for k in range(120):
+        words = rng.choices(vocabulary, k=rng.choice([5, 6, 9, 10, 14, 20, 50]))
+        lines.append(words)
+        changed, spare = list(words), len(words) // 5
+        for _ in range(rng.randint(1, spare)):
+            at, how = rng.randrange(len(changed)), rng.random()
+            if how < 0.6:
+                changed[at] = rng.choice(vocabulary)
+            elif how < 0.8:
+                del changed[at]
+            else:
+                changed.insert(at, rng.choice(vocabulary))
+        lines.append(changed)
+    docs = docs_of([(k, " ".join(w)) for k, w in enumerate(lines)])
+    line_rows = line_dedup.different_lines(line_dedup.occurrences(docs, 5)).select("*", *line_dedup.keys()).withColumn("id", F.monotonically_increasing_id())
+    line_rows = common.cut(line_rows)
+    text = {r.id: r.norm.split() for r in line_rows.collect()}
+    ids = sorted(text)
+    similar = [(a, b) for a in ids for b in ids if a > b and edits(text[a], text[b]) <= 0.2 * max(len(text[a]), len(text[b])) + 1e-9]
+    assert len(similar) > 80
+    assert closed([(r.a, r.b) for r in line_dedup.linked(line_rows).collect()], ids) == closed(similar, ids)
+
+
 def test_line_dedup_odd_rows(docs_of, odd_rows, prose):
     got = line_dedup.dedup_lines(docs_of(odd_rows)).collect()
     assert len(got) == len(odd_rows)

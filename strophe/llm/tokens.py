@@ -32,15 +32,22 @@ class WordEncoder:
 
     ``kind`` is "byte" (byte-level words that begin with their space) or "word" (lower-case words that end
     with a mark; white space is dropped); ``of`` chooses it from the tokenizer's own description.
+    ``special_as_text`` takes the strings of special tokens in a text for ordinary text; without it they are
+    their tokens, as the library has it by itself.
     """
 
     SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
 
-    def __init__(self, spec: str, kind: str | None = None):
+    #: What str.split() takes for white space and the library's classes do not.
+    SEPARATORS = re.compile("[\x1c-\x1f]")
+
+    def __init__(self, spec: str, kind: str | None = None, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(spec)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = special_as_text
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content and not (special_as_text and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model = self.whole.model
         self.kind = kind or self.of(spec)
         self.letters = byte_letters()
@@ -98,6 +105,8 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.SEPARATORS.search(text) or (self.added and self.added.search(text)):
+            return self.plain(text)
         self.forget()
         if self.kind == "word":
             words = text.split()
@@ -126,7 +135,7 @@ def encoder(spec: str) -> WordEncoder:
     """The worker's encoder of this tokenizer; kept while the worker lives."""
     key = hash(spec)
     if key not in _encoders:
-        _encoders[key] = WordEncoder(spec)
+        _encoders[key] = WordEncoder(spec, special_as_text=False)
     return _encoders[key]
 
 

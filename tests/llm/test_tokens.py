@@ -25,6 +25,16 @@ def test_word_encoder_equals_the_library(name, prose):
         assert encoder.encode(text) == tokens.packed(whole.encode(text, add_special_tokens=False).ids), text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_queries_encoder_equals_the_plain_call(name, prose):
+    whole = Tokenizer.from_file(P.path(name))
+    encoder = tokens.encoder(tokens.read_spec(P.path(name)))
+    odd = [f"a{chr(c)}b x{chr(c)} {chr(c)}y" for c in [*range(0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]]
+    special = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y\n<|endoftext|>", "<|startoftext|> A", "<|END oftext|>", "<|endoftext|", prose(3) + "<|endoftext|>" + prose(4)]
+    for text in [*ODD, *odd, *special, prose(1, 500)]:
+        assert encoder.encode(text) == tokens.packed(whole.encode(text, add_special_tokens=False).ids), text
+
+
 def test_fill_windows_uses_every_length_once_and_fills():
     rng = random.Random(3)
     for _ in range(30):

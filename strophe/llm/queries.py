@@ -29,7 +29,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that near copies elsewhere repeat."""
-    return line_dedup.dedup_lines(documents(spark, sf_dir), whole=True).select("doc_id", "n_lines_removed", "text")
+    return line_dedup.dedup_lines(documents(spark, sf_dir), least_words=1, whole=True).select("doc_id", "n_lines_removed", "text")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

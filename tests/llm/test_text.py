@@ -181,6 +181,16 @@ def test_line_links_connect_every_similar_pair(docs_of, spark):
     assert closed([(r.a, r.b) for r in line_dedup.linked(line_rows).collect()], ids) == closed(similar, ids)
 
 
+def test_short_and_unspaced_lines_are_deduplicated(spark, tmp_path, docs_of):
+    from strophe.llm import queries
+
+    chinese = "今天天气很好我们一起去公园散步吧"
+    rows = [(1, "All rights reserved\n\n---\n" + chinese), (2, "all rights reserved.\n\n---\n" + chinese.replace("散", "跑")), (3, "All rights deserved\n你好\n你好"), (4, "你好"), (5, "---\n\n完全不同的另一行文字在这里")]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines_removed, r.text) for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, "\n---"), 3: (1, "All rights deserved\n你好"), 4: (1, ""), 5: (0, rows[4][1])}
+
+
 def test_line_dedup_odd_rows(docs_of, odd_rows, prose):
     got = line_dedup.dedup_lines(docs_of(odd_rows)).collect()
     assert len(got) == len(odd_rows)

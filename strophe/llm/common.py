@@ -50,6 +50,13 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def once(df: DataFrame, **values) -> DataFrame:
+    """``df`` with a column for each of ``values``, computed once for a row however many expressions read it later on."""
+    (name,) = free_names(df, "once")
+    out = df.select("*", F.explode_outer(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias(name))
+    return out.withColumns({k: F.col(name)[k] for k in values}).drop(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strophe.llm import common
+
 #: Rows of the sample on which rules are timed and counted.
 SAMPLE_ROWS = 2_000
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
 
 
 def let(value: Column, body) -> Column:
@@ -20,41 +20,47 @@ def let(value: Column, body) -> Column:
 
 
 def split_words(text: Column) -> Column:
-    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    return F.array_remove(F.split(text, r"[ \t\n\x0B\f\r]+"), "")
 
 
 def repeated_words(words: Column) -> Column:
     """Words that lie in a window of three words which the text holds twice or more (first included)."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
 
-    def twice(s: Column) -> Column:
-        same = lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
-        return F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"]))
+    def windows(hashes: Column) -> Column:
+        return F.transform(F.slice(hashes, F.lit(1), F.size(hashes) - 2), lambda x, i: F.xxhash64(x, F.get(hashes, i + 1), F.get(hashes, i + 2)))
+
+    def some(h: Column) -> Column:
+        # most texts repeat nothing, which a count of the different ones tells
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(by_places(h))
 
-    def covered(starts: Column) -> Column:
+    def by_places(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        same = lambda s, x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
         step = lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"))
+        starts = let(pairs, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: same(s, x, k)), lambda x: x["i"])))
         return F.aggregate(starts, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), step)["n"]
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(covered(let(F.sort_array(windows), twice)))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), some))
+
+
+def measured(text: Column) -> dict[str, Column]:
+    """n_words, word_chars, n_lines and n_dup_lines of a text."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
+    return {
+        "of_words": let(split_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).cast("long").alias("rep"))),
+        "of_lines": let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))),
+        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
+    }
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (null text: none of each)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    of_words = let(split_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("rep")))
-    out = docs.withColumns({"_lines": of_lines, "_words": of_words})
-    return out.withColumns(
-        {
-            "n_words": F.col("_words.n"),
-            "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.col("_lines.n"),
-            "n_dup_lines": F.col("_lines.dup"),
-            "n_repeat_words": F.col("_words.rep"),
-        }
-    ).drop("_lines", "_words")
+    words, lines = common.free_names(docs, "of_words", "of_lines")
+    found = measured(text)
+    out = common.once(docs.drop("n_symbols"), **{words: found["of_words"], lines: found["of_lines"], "n_symbols": found["n_symbols"]})
+    named = {"n_words": F.col(words)["n"], "word_chars": F.col(words)["chars"], "n_repeat_words": F.col(words)["rep"], "n_lines": F.col(lines)["n"], "n_dup_lines": F.col(lines)["dup"]}
+    return out.withColumns(named).drop(words, lines)
 
 
 def base_failed() -> Column:
@@ -63,30 +69,33 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is a Boolean Column over a document's columns; null counts as not rejected."""
+    """``rejects`` is a Boolean Column over a document's columns and measures; null counts as not rejected."""
 
     name: str
     rejects: Column
 
 
 def base_rules() -> list[Rule]:
-    words = split_words(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return [Rule("few_words", F.size(words) < 50), Rule("repetition", let(words, lambda w: 100 * repeated_words(w) > 50 * F.size(w)))]
+    return [Rule("few_words", F.col("n_words") < 50), Rule("repetition", 100 * F.col("n_repeat_words") > 50 * F.col("n_words"))]
 
 
 def text_rules() -> list[Rule]:
-    """Rules on the text alone, so that none needs another's measure. All are about form, none about language."""
+    """Rules on the text and its measures. All are about form, none about language."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = split_words(text)
     n = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    words = F.col("n_words")
+    # signs and digits in words are few; letters are what else is in words
+    letters = F.col("word_chars") - n(r"[^\p{L} \t\n\x0B\f\r]")
+    # possessive, between blanks only: a run of any length is read once
+    without_letter = n(r"(?<![^ \t\n\x0B\f\r])[^\p{L} \t\n\x0B\f\r]++(?![^ \t\n\x0B\f\r])")
     return [
-        Rule("symbols", F.length(text) - F.length(F.translate(text, SYMBOLS, "")) > 0.1 * F.size(words)),
-        Rule("long_words", F.length(F.translate(text, SPACES, "")) > 20 * F.size(words)),
-        Rule("short_words", F.length(F.translate(text, SPACES, "")) < 2 * F.size(words)),
-        Rule("few_letter_words", n(r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*") < 0.6 * F.size(words)),
-        Rule("shouting", n(r"\p{Lu}") > 0.5 * n(r"\p{L}")),
+        Rule("symbols", F.col("n_symbols") > 0.1 * words),
+        Rule("long_words", F.col("word_chars") > 20 * words),
+        Rule("short_words", F.col("word_chars") < 2 * words),
+        Rule("few_letter_words", words - without_letter < 0.6 * words),
+        Rule("shouting", n(r"\p{Lu}") > 0.5 * letters),
         Rule("ellipses", n(r"(?:…|\.\.\.)[\x20\x09-\x0D]*(?:\n|$)") > F.greatest(F.lit(3), F.lit(0.3) * F.size(F.split(text, "\n")))),
-        Rule("duplicate_lines", let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)) > 0.5 * F.size(x))),
+        Rule("duplicate_lines", F.col("n_dup_lines") > 0.5 * F.col("n_lines")),
     ]
 
 
@@ -97,7 +106,7 @@ def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_
     alone over the cached sample, after one untimed pass. The order changes the work, never the verdict.
     """
     total = max(1, docs.count())
-    sample = docs.select("text").sample(min(1.0, sample_rows / total), seed=7).limit(2 * sample_rows).repartition(2).persist()
+    sample = measure(docs.select("text").sample(min(1.0, sample_rows / total), seed=7).limit(2 * sample_rows).repartition(2)).persist()
     rows = max(1, sample.count())
     found = []
     for rule in rules:
@@ -134,4 +143,5 @@ def assess(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int =
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows of ``docs`` that ``assess`` keeps, with their own columns; here the base rules are links of the cascade too."""
     ordered = [rule for rule, _, _ in cascade_order(docs, base_rules() + (text_rules() if rules is None else rules), sample_rows)]
-    return docs.where(verdict(ordered).isNull())
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return measure(row).where(verdict(ordered).isNull()).select("row.*")

@@ -39,10 +39,26 @@ def test_cascade_order_does_not_change_the_verdict(docs_of, prose):
     assert {r.name for r, _, _ in ordered} == {r.name for r in rules}
     assert [p / c for _, c, p in ordered] == sorted((p / c for _, c, p in ordered), reverse=True)
     kept = {r.doc_id for r in quality.assess(docs).where("kept").collect()}
-    assert kept == set(range(20)) == {r.doc_id for r in docs.where(quality.verdict(rules[::-1]).isNull()).collect()} == {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == set(range(20)) == {r.doc_id for r in quality.measure(docs).where(quality.verdict(rules[::-1]).isNull()).collect()} == {r.doc_id for r in quality.keep_good(docs).collect()}
     assert quality.assess(docs.limit(0)).count() == 0
 
 
+def test_a_long_run_without_blanks_is_read_once(docs_of, prose):
+    import time
+
+    docs = docs_of([(1, prose(1, 80) + " " + "0" * 1_000_000), (2, "#" * 1_000_000), (3, "... " * 200_000)])
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols) for r in quality.assess(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1][1] > 1_000_000 and got[2] == (1, 1_000_000, 1_000_000) and got[3] == (200_000, 600_000, 0)
+
+
+def test_keep_good_keeps_columns_named_like_measures(docs_of, prose):
+    docs = docs_of([(1, prose(1, 90)), (2, "short")]).withColumn("n_words", F.lit("mine")).withColumn("n_symbols", F.lit(7))
+    assert [(r.doc_id, r.n_words, r.n_symbols) for r in quality.keep_good(docs).collect()] == [(1, "mine", 7)]
+    assert quality.keep_good(docs).columns == docs.columns
+
+
 def closed(links, nodes):
     top = {n: n for n in nodes}
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 import re
 import struct
 
-#: Different words a worker remembers; beyond it, the table starts anew.
-REMEMBERED_WORDS = 450_000
+#: Different words a worker remembers in each of two generations: beyond it the older one goes, and of it what is met again comes along.
+REMEMBERED_WORDS = 350_000
 #: Words longer than this are not remembered.
 REMEMBERED_LENGTH = 64
 
@@ -39,7 +39,7 @@ class WordEncoder:
     SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
 
     #: What str.split() takes for white space and the library's classes do not.
-    SEPARATORS = re.compile("[\x1c-\x1f]")
+    SEPARATORS = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, spec: str, kind: str | None = None, special_as_text: bool = True):
         from tokenizers import Tokenizer
@@ -47,12 +47,14 @@ class WordEncoder:
         self.whole = Tokenizer.from_str(spec)
         self.whole.encode_special_tokens = special_as_text
         added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content and not (special_as_text and t.special)]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        #: Strings that send a text to the library whole.
+        self.apart = [*self.SEPARATORS, *added]
         self.model = self.whole.model
         self.kind = kind or self.of(spec)
         self.letters = byte_letters()
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.older: dict[int, dict[str, bytes]] = {0: {}, 1: {}}
         self.newline = self.plain("\n") if self.kind == "byte" else b""
 
     @staticmethod
@@ -76,36 +78,43 @@ class WordEncoder:
 
     def forget(self) -> None:
         if len(self.first) + len(self.later) > REMEMBERED_WORDS:
+            self.older = {0: self.first, 1: self.later}
             self.first, self.later = {}, {}
 
+    def word(self, table: dict[str, bytes], older: dict[str, bytes], w: str, make) -> bytes:
+        """``w`` from the tables or made; short ones are remembered."""
+        ids = table.get(w)
+        if ids is None:
+            ids = older.get(w)
+            if ids is None:
+                ids = make(w)
+            if len(w) <= REMEMBERED_LENGTH:
+                table[w] = ids
+        return ids
+
     def learn(self, table: dict[str, bytes], words: set[str], before: str) -> dict[str, bytes]:
         """``table``, or where it lacks very long words a view of it with them."""
         long: dict[str, bytes] = {}
+        older = self.older[1 if before else 0]
+        byte = self.kind == "byte"
+        stem = (lambda w: self.letters_only(before + w)) if byte else self.letters_only
         for w in words:
-            m = self.SIMPLE.fullmatch(w)
-            if m is None:
-                ids = self.plain(before + w)
-            elif self.kind == "byte":
-                ids = self.letters_only(before + m[1]) + (self.plain(m[2]) if m[2] else b"")
-            else:
-                stem = m[1].lower()
-                ids = table.get(stem)
-                if ids is None:
-                    ids = self.letters_only(stem)
-                    if len(stem) <= REMEMBERED_LENGTH:
-                        table[stem] = ids
-                if m[2]:
-                    end = table.get(m[2])
-                    if end is None:
-                        table[m[2]] = end = self.plain(m[2])
-                    ids += end
+            ids = older.get(w)
+            if ids is None:
+                m = self.SIMPLE.fullmatch(w)
+                if m is None:
+                    ids = self.plain(before + w)
+                else:
+                    ids = self.word(table, older, m[1] if byte else m[1].lower(), stem)
+                    if m[2]:  # signs behind a word are a pre-token of their own, as at the start of a text
+                        ids += self.word(self.first, self.older[0], m[2], self.plain)
             (table if len(w) <= REMEMBERED_LENGTH else long)[w] = ids
         return table | long if long else table
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.SEPARATORS.search(text) or (self.added and self.added.search(text)):
+        if any(x in text for x in self.apart):
             return self.plain(text)
         self.forget()
         if self.kind == "word":

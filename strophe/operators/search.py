@@ -16,13 +16,6 @@ from strophe.plans import stream as S
 FIELDS = ("surface", "lemma", "pos")
 
 
-def lines_with_tokens(lines: DataFrame) -> DataFrame:
-    """Tokenized lines with n_line (lines of the song) and place (from 1)."""
-    song = Window.partitionBy("song_id")
-    rows = S.tokenized(lines)
-    return rows.withColumns({"place": F.row_number().over(song.orderBy("line_idx")).cast("long"), "n_lines": F.count("*").over(song)})
-
-
 def matches_at(i: Column, words: tuple[str, ...], attribute: str) -> Column:
     """Tokens from place ``i`` (from 0) on are ``words``."""
     out = F.lit(True)
@@ -31,6 +24,24 @@ def matches_at(i: Column, words: tuple[str, ...], attribute: str) -> Column:
     return out
 
 
+def after_characters(text: Column, n: Column) -> Column:
+    """start and end: where a text's ``n``-th character that is no blank ends, with the blanks that follow it and without them.
+
+    One pass over the text's words, each with the blanks behind it, so that a line of any length needs no recursion.
+    """
+
+    def step(a: Column, word: Column) -> Column:
+        full = F.length(F.regexp_replace(word, r"\s", ""))
+        take = F.least(full, a["left"])
+        start = F.when(take < full, a["start"] + take).otherwise(a["start"] + F.length(word))
+        moved = F.struct((a["left"] - take).alias("left"), start.alias("start"), F.when(full > 0, a["start"] + take).otherwise(a["end"]).alias("end"))
+        return F.when((a["left"] <= 0) & (full > 0), a).otherwise(moved)
+
+    zero = F.lit(0)
+    # the count is part of the state, so that it is not computed again for each word
+    return F.aggregate(F.split(text, r"(?<=\s)(?=\S)"), F.struct(n.alias("left"), zero.alias("start"), zero.alias("end")), step)
+
+
 def kwic(lines: DataFrame, keywords: tuple[str, ...], attribute: str = "lemma", pos: str | None = None, near: tuple[str, int] | None = None, dedup: bool = False, cross_line: bool = False, jp_only: bool = False, context: int = 5, limit: int | None = None) -> DataFrame:
     """Keyword in context: song_id, artist, line_idx, token_idx, left, keyword, right, left_words, right_words, repeat_count.
 
@@ -66,8 +77,7 @@ def kwic(lines: DataFrame, keywords: tuple[str, ...], attribute: str = "lemma",
     span = lambda a, b: F.array_join(F.transform(F.slice("tokens", a, b), lambda t: t["surface"]), "")
     chars = F.length(span(F.lit(1), F.col("i")))
     inner = F.length(span(F.col("i") + 1, F.col("n")))
-    cut = lambda n, more: F.coalesce(F.length(F.regexp_substr(F.col("text"), F.concat(F.lit(r"^(?:\s*\S){"), n.cast("string"), F.lit("}" + more)))), F.lit(0))
-    rows = rows.withColumn("_a", cut(chars, r"\s*")).withColumn("_b", cut(chars + inner, ""))
+    rows = rows.withColumn("_a", after_characters(F.col("text"), chars)["start"]).withColumn("_b", after_characters(F.col("text"), chars + inner)["end"])
     before, after = F.substring(F.col("text"), F.lit(1), F.col("_a")), F.substring(F.col("text"), F.col("_b") + 1, F.length("text"))
     if cross_line:
         before, after = F.concat_ws(" / ", "before", before), F.concat_ws(" / ", after, "after")

@@ -92,6 +92,14 @@ def test_measures(spark):
     assert row.g == pytest.approx(2 * sum(o * math.log(o / x) for o, x in zip(cells, e, strict=True)))
 
 
+def test_kwic_of_a_very_long_line(spark):
+    text = "  " + "abc, " * 60_000 + "night\tof \u3000 dawn " + "xyz " * 40_000
+    rows = spark.createDataFrame([(1, "a", "en", 0, text), (1, "a", "en", 1, " night"), (1, "a", "en", 2, "(night)  ")], LINES)
+    hits = search.kwic(rows, ("night",)).orderBy("line_idx").collect()
+    assert [r.left + r.keyword + r.right for r in hits] == [text, " night", "(night)  "]
+    assert [r.keyword for r in hits][:2] == ["night", "night"] and hits[0].left.endswith("abc, ")
+
+
 def test_kwic_rebuilds_the_line(mini):
     hits = search.kwic(mini, ("night", "with+the"), cross_line=False).collect()
     texts = {(r.song_id, r.line_idx): r.text for r in mini.collect()}

@@ -129,17 +129,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"))
 
 
-def _counted(rows: DataFrame, of, keep: int) -> DataFrame:
-    """Documents with each key, toxic and other; a task sums its own rows first and copies of a text count once a task."""
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """folded and toxic of each different folded text, told apart by 128 bits; it is toxic if any of its copies is."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([fold(t or "") for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["folded", "toxic"])
+
+    folded = rows.mapInArrow(run, "folded string, toxic boolean")
+    return folded.groupBy(F.xxhash64("folded").alias("h1"), F.xxhash64(F.lit(1), "folded").alias("h2")).agg(F.any_value("folded").alias("folded"), F.max("toxic").alias("toxic")).select("folded", "toxic")
+
+
+def _counted(texts: DataFrame, of, keep: int) -> DataFrame:
+    """Different texts with each key, toxic and other; a task sums its own rows first."""
 
     def count(batches):
-        counts, seen, n = (Counter(), Counter()), set(), [0, 0]
+        counts, n = (Counter(), Counter()), [0, 0]
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                folded = fold(text or "")
-                if hash(folded) in seen:
-                    continue
-                seen.add(hash(folded))
+            for folded, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n[toxic] += 1
                 counts[toxic].update(of(folded))
         keys = ["", *(counts[0].keys() | counts[1].keys())]
@@ -147,14 +154,15 @@ def _counted(rows: DataFrame, of, keep: int) -> DataFrame:
             part = keys[k : k + 50_000]
             yield pa.RecordBatch.from_pydict({"key": part, "bad": [counts[1][x] if x else n[1] for x in part], "fine": [counts[0][x] if x else n[0] for x in part]})
 
-    return rows.mapInArrow(count, "key string, bad long, fine long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).where(F.col("bad") + F.col("fine") >= keep)
+    return texts.mapInArrow(count, "key string, bad long, fine long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).where(F.col("bad") + F.col("fine") >= keep)
 
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), limit: int = TRAINING_ROWS) -> Lexicon:
     """Fit a lexicon. What reaches the driver is bounded: LEXICON_ENTRIES entries, EXCEPTIONS phrases and
     four numbers for each of at most ``limit`` rows. Without toxic or without other labelled rows it is empty."""
     rows = common.cut(training_rows(docs, labels, limit))
-    counted = common.cut(_counted(rows, lambda folded: {e for w in set(folded.split()) for e in entries_of(w)}, 5))
+    texts = common.cut(distinct_texts(rows))
+    counted = common.cut(_counted(texts, lambda folded: {e for w in set(folded.split()) for e in entries_of(w)}, 5))
     total = counted.where("key = ''").first()
     if total is None or not total["bad"] or not total["fine"]:
         return Lexicon(coefficients=(-4.0, 0.0, 0.0, 0.0))
@@ -182,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
             out |= {folded[start : end + 1], folded[before : end + 1], folded[start : after + 1] if after > 0 else folded[start : end + 1]}
         return out
 
-    spared = _counted(rows, phrases, 3).where("key <> '' AND bad = 0 AND fine >= 3").orderBy(F.desc("fine"), "key").limit(EXCEPTIONS).collect()
+    spared = _counted(texts, phrases, 3).where("key <> '' AND bad = 0 AND fine >= 3").orderBy(F.desc("fine"), "key").limit(EXCEPTIONS).collect()
     lexicon.exceptions += tuple(r["key"] for r in spared)
 
     def features(batches):

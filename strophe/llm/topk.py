@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from strophe.llm import common
 
-#: Vectors of a candidate block and of a query block.
-CANDIDATES, QUERIES = 8_192, 1_024
+#: Most vectors of a candidate block and of a query block, and most bytes of a block. Each vector is sent to every block of the
+#: other side, so large blocks keep the shuffle small.
+CANDIDATES, QUERIES, BLOCK_BYTES = 32_768, 32_768, 2**26
 #: Dimensions that are added at a time.
 DIMENSIONS = 8
 
@@ -73,13 +74,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
 
     ``vectors`` has vec_id and embedding. Null embeddings, empty ones and those that hold null or non-finite
     components take no part, as query or as candidate; null vec_ids take no part either. Vectors of fewer dimensions count as
-    zero in the others. Rows that repeat a vec_id are rows of their own: a query skips only its own row. Components must stay
-    below 2**24 / scale in size, so that no sum overflows. An empty table gives no rows; other columns are not read.
+    zero in the others. Rows that repeat a vec_id are rows of their own: a query skips only its own row. Vectors so large that a
+    score could leave 64 bits raise an OverflowError. An empty table gives no rows; other columns are not read.
     """
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("q"), whole_numbers(F.col("embedding"), scale).alias("v"))
     rows = common.cut(rows)
-    n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
-    blocks, groups = max(1, -(-n // CANDIDATES)), max(1, -(-asked // QUERIES))
+    n, asked, dims, most, least = rows.agg(F.count("*"), F.count_if("q"), F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
+    if n and dims * max(most, -least) ** 2 >= 2**63:
+        raise OverflowError("scores of these vectors can exceed 64 bits; take a smaller scale")
+    fit = max(1, BLOCK_BYTES // (8 * (dims or 1)))
+    # few vectors are still dealt to all cores
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks, groups = max(-(-n // min(CANDIDATES, fit)), min(cores, n // 1024), 1), max(1, -(-asked // min(QUERIES, fit)))
     at = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     candidates = rows.select(at(blocks).alias("b2"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g2"), *[F.col(c).alias(f"{c}2") for c in ("row", "vec_id", "v")])
     queries = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), at(groups).alias("g"), "row", "vec_id", "v")

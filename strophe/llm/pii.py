@@ -38,10 +38,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 _LOOSE = (
-    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z]{2,12}(?![A-Za-z])"), " at |[\\[(] ?at"),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z]{2,12}(?![A-Za-z])"), " at |[\\[(] ?at"),
     (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), ":"),
     (3, re.compile(r"(?<![0-9A-Za-z(+])(?:\([0-9]{2,5}\)[ ]?|[0-9]{2,5}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"), None),
-    (4, re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])"), None),
+    (4, re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"), None),
     (5, re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|M|Mme|Señor|Señora|Sr|Sra)\.? [A-ZÀ-ÖØ-Þ][\w'-]{1,30}(?: [A-ZÀ-ÖØ-Þ][\w'-]{1,30})?"), "(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señor|Sra?|Monsieur|Madame|M)\\.? "),
 )
 # Words near a span that speak for a kind, and words that speak against any.
@@ -95,7 +95,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """More candidates, none of which touches a base span or another candidate."""
+    """More candidates by place, none of which touches a base span. They may overlap until the classifier has decided."""
     found = []
     has_digit = bool(_DIGIT.search(text))
     for kind, pattern, needs in _LOOSE:
@@ -105,16 +105,25 @@ def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     if has_digit:
         found += [(m.start(), m.end(), 2) for m in _CARD.finditer(text) if 13 <= sum(c.isdigit() for c in m[0]) <= 19]
     out, used = [], sorted((a, b) for _, a, b in taken)
-    ends, k = 0, 0
+    k = 0
     for a, b, kind in sorted(found):
         while k < len(used) and used[k][1] <= a:
             k += 1
-        if a >= ends and not (k < len(used) and used[k][0] < b):
+        if not (k < len(used) and used[k][0] < b):
             out.append((kind, a, b))
-            ends = b
     return out
 
 
+def apart(spans: list[dict]) -> list[dict]:
+    """Base spans, and of loose ones that overlap the first by start, end and kind; sorted by kind and start."""
+    out, ends = [s for s in spans if s["base"]], 0
+    for s in sorted((s for s in spans if not s["base"]), key=lambda s: (s["start"], s["end"], s["kind"])):
+        if s["start"] >= ends:
+            out.append(s)
+            ends = s["end"]
+    return sorted(out, key=lambda s: (s["kind"], s["start"]))
+
+
 def votes(text: str, kind: int, a: int, b: int, base: bool) -> str:
     """One of +, - and 0 of each labeler."""
     value, near = text[a:b], text[max(0, a - NEAR) : a].lower()
@@ -218,11 +227,17 @@ def train(found: DataFrame) -> Model:
 
 
 def decide(found: DataFrame, model: Model) -> DataFrame:
-    """Keep base spans and loose candidates that the classifier finds likelier than not: doc_id, spans (kind, start, end, base, p)."""
+    """Keep base spans and loose candidates that the classifier finds likelier than not, of overlapping ones the first: doc_id, spans (kind, start, end, base, p)."""
     weights = F.array(*[F.lit(w) for w in model.weights])  # folded to one constant
     odds = lambda s: F.aggregate(s["features"], F.lit(model.bias), lambda a, f: a + F.get(weights, f))
     scored = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), (1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), odds(s)))))).alias("p")))
-    return found.select("doc_id", F.filter(scored, lambda s: s["base"] | (s["p"] >= 0.5)).alias("spans"))
+    kept = found.select("doc_id", F.filter(scored, lambda s: s["base"] | (s["p"] >= 0.5)).alias("spans"))
+
+    def settle(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([apart(s) for s in batch.column(1).to_pylist()], batch.schema.field(1).type)], ["doc_id", "spans"])
+
+    return kept.mapInArrow(settle, kept.schema)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -257,7 +272,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def replaced(text: str | None) -> str | None:
         base = base_spans(text) if text else []
-        spans = base + [s for s in (loose_spans(text, base) if text else []) if model.bias + sum(model.weights[f] for f in features(text, *s)) >= 0]
+        loose = [s for s in (loose_spans(text, base) if text else []) if model.bias + sum(model.weights[f] for f in features(text, *s)) >= 0]
+        spans = [(s["kind"], s["start"], s["end"]) for s in apart([{"kind": k, "start": a, "end": b, "base": n < len(base)} for n, (k, a, b) in enumerate(base + loose)])]
         if not spans:
             return text
         out, done = [], 0

@@ -181,11 +181,17 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     doc_ids only has class_id null. Repeated rows are rows of their own and linked to each other. An empty table gives no rows.
     Columns other than doc_id and text are not read.
     """
+    return classified(docs, n, threshold, recall).select("doc_id", "class_id", "n_links")
+
+
+def classified(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """``join`` with text_hash and stays: whether the row has the doc_id and text that stand for its class. Of the class's
+    smallest doc_id that is one text; repeated rows of it all have the mark."""
     bands, rows = bands_for(threshold, recall)
     signed = common.cut(sign(docs, n, bands, rows))
     full = signed.where("size > 0")
-    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("text_hash"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = common.cut(classes.withColumn("c", F.monotonically_increasing_id()))
+    classes = full.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = common.cut(classes.withColumns({"doc_id": F.col("one.doc_id"), "text_hash": F.col("one.text_hash")}).withColumn("c", F.monotonically_increasing_id()))
     keyed = classes.select("c", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("c").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     groups = common.components(keyed.join(heads, "key").select(F.col("c").alias("a"), F.col("head").alias("b")))
@@ -203,14 +209,28 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     linked = common.cut(links(found, docs, n, threshold))
     counts = linked.groupBy("c").agg(F.sum("n_links").alias("n_links"))
     tops = common.components(linked.select(F.col("c").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("c"), "root")
-    named = classes.select("c", "s1", "s2", "doc_id", "copies").join(tops, "c", "left").join(counts, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    first = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = named.join(first, "root").select("s1", "s2", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    empty = signed.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.select("doc_id", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "class_id", "n_links").unionByName(empty)
+    named = classes.select("c", "s1", "s2", "one", "copies").join(tops, "c", "left").join(counts, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    first = named.groupBy("root").agg(F.min("one").alias("first"))
+    named = named.join(first, "root").select("s1", "s2", "first", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    empty = signed.where("size = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    found = full.select("doc_id", "text_hash", "s1", "s2").join(named, ["s1", "s2"])
+    return found.select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "n_links", stays.alias("stays")).unionByName(empty)
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """``docs`` without the documents whose class has a smaller doc_id; rows of null doc_id all stay, as nothing names them."""
-    drop = join(docs, n, threshold, recall).where("doc_id <> class_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    """One row of ``docs`` for each class of ``join``: of the smallest doc_id, null the largest; of several texts of that doc_id
+    the one of the smallest hash, of rows that repeat both any one. Null texts and texts without a word all stay. All
+    columns stay; an empty table gives no rows."""
+    d, t = common.free_names(docs, "d", "t")
+    marks = classified(docs, n, threshold, recall).groupBy(F.col("doc_id").alias(d), F.col("text_hash").alias(t), "stays")
+    marks = common.cut(marks.agg((F.count_if(F.col("n_links") > 0) > 1).alias("twice")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t))
+    kept = docs.join(marks.where("NOT stays").select(d, t), same, "left_anti")
+    twice = common.cut(marks.where("stays AND twice").select(d, t))
+    if twice.isEmpty():
+        return kept
+    # only rows that repeat doc_id and text meet here
+    one = kept.join(twice, same).dropDuplicates([d, t]).select(docs.columns)
+    return kept.join(twice, same, "left_anti").unionByName(one)

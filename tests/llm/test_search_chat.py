@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from strophe.llm import chat, topk
 
@@ -28,6 +29,12 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
         assert got == brute(rows)
 
 
+def test_top_k_refuses_what_overflows(spark):
+    frame = spark.createDataFrame([(0, [1e9, 1e9], 1, "x", "y"), (1, [1e9, 1e9], 1, "x", "y")], SCHEMA)
+    with pytest.raises(OverflowError):
+        topk.top_k(frame, frame.vec_id % 50 == 0)
+
+
 def test_top_k_of_few_rows(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0], 1, "x", "y"), (1, [0.5, 0.5], 1, "x", "y")], SCHEMA)
     assert [tuple(r) for r in topk.top_k(frame, frame.vec_id % 50 == 0).collect()] == [(0, 1, 1, 256 * 128)]

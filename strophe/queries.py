@@ -11,6 +11,7 @@ from strophe.functions import measures, text
 from strophe.operators import association, frequency, lexical, library, plays, resolve, runs, search, timeline
 from strophe.plans import scope, stream
 from strophe.sources import tables as T
+from strophe.sources import token_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,8 +37,8 @@ def with_(*names: str) -> str:
 TOK = with_("lines", "tokens", "kept")
 
 
-def tokens(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return stream.stream(T.lines(spark, sf_dir))
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table.token_table(spark, sf_dir)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

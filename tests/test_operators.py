@@ -296,3 +296,19 @@ def test_archived_runs_repeat(spark, sf_dir):
     corpus = Corpus.at(spark, sf_dir)
     made = [runs.archive(corpus.frequency(limit=20).orderBy("lemma", "pos"), "frequency", {"limit": 20}, "everything", corpus.snapshot()).first() for _ in range(2)]
     assert made[0].run_id == made[1].run_id and made[0].result_hash == made[1].result_hash
+
+
+def test_token_table_is_written_once_and_again_when_documents_change(spark, tmp_path):
+    from strophe.plans import stream
+    from strophe.sources import tables, token_table
+
+    def write(texts):
+        rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        return sorted(map(tuple, token_table.token_table(spark, str(tmp_path)).collect()))
+
+    first = write(["one two, three\none two, three", None, ""])
+    assert first == sorted(map(tuple, stream.stream(tables.lines(spark, str(tmp_path))).collect())) and len(first) == 6
+    known = len(token_table._WRITTEN)
+    assert len(token_table.token_table(spark, str(tmp_path)).collect()) == 6 and len(token_table._WRITTEN) == known
+    assert len(write(["four"])) == 1 and write([]) == []

@@ -179,9 +179,9 @@ def test_line_dedup_equals_brute_force(docs_of, prose, spark):
 
 
 def linked_pairs(docs):
-    lines = common.cut(line_dedup.with_blocks(line_dedup.split_lines(docs), line_dedup.frequencies(docs)))
+    lines = common.cut(line_dedup.split_lines(docs))
     text = {r.k1: r.norm for r in lines.select("k1", "norm").collect()}
-    return [(text[r.a], text[r.b]) for r in line_dedup.linked(lines).collect()], set(text.values())
+    return [(text[r.a], text[r.b]) for r in line_dedup.linked(lines, line_dedup.frequencies(docs)).collect()], set(text.values())
 
 
 def test_line_links_are_similar_and_few_are_missed(docs_of, spark):

@@ -743,3 +743,6 @@ def kwic_sort(spark, sf_dir):
 @query(TOK + " SELECT lemma, count(*) AS freq, count(DISTINCT song_id) AS songs FROM kept WHERE pos = 'NOUN' GROUP BY lemma HAVING count(*) >= 5")
 def pick_words(spark, sf_dir):
     return frequency.pick_words(tokens(spark, sf_dir), ("NOUN",), 5)
+
+
+from strophe import queries_words  # noqa: E402, F401  registers its queries

@@ -91,7 +91,8 @@ def import_plan(scanned: DataFrame, library: DataFrame) -> DataFrame:
     ("skip"); an earlier new file has the path ("batch"); a song has its code or recording, or its identity and no difference ("duplicate", with the song); an earlier new file has its
     identity and no difference ("batch", with its path); else "new", with the first song of its identity, if any, as what it is a version of.
 
-    Facts are compared as distinct ones: an identity's files of equal facts are one row. Rows of a null place are left out of comparisons within the batch.
+    Facts are compared as distinct ones: an identity's files of equal facts are one row. Files of one path are taken
+    to have the same tags.
     """
     files, songs = settled(prepared(scanned)), settled(prepared(library))
     by_path = songs.where("path_key <> ''").groupBy("path_key").agg(F.max_by(F.struct("id", F.col("size").alias("size0"), F.col("mtime").alias("mtime0")), "id").alias("p"))

@@ -72,8 +72,8 @@ class Corpus:
     def kwic(self, *keywords: str, **options) -> DataFrame:
         return search.kwic(self.lines, keywords, **options)
 
-    def pattern(self, query: str, **options) -> DataFrame:
-        return search.pattern_search(self.lines, query, **options)
+    def pattern(self, *items: search.Item, **options) -> DataFrame:
+        return search.pattern_search(self.lines, list(items), **options)
 
     def full_text(self, phrase: str, limit: int | None = None) -> DataFrame:
         return search.full_text(self.lines, phrase, limit)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,16 +48,22 @@ def kwic(lines: DataFrame, keywords: tuple[str, ...], attribute: str = "lemma",
     song to the first hit and counts hits. ``cross_line`` adds the lines with the line numbers before and after, after `` / ``.
     """
     patterns = sorted({tuple(w for w in k.split("+") if w) for k in keywords} - {()}, key=lambda p: (-len(p), p))
-    rows = S.tokenized(lines)
+    # a line is only taken apart if its letters can hold all words of a keyword
+    some = F.lit(False)
+    for p in patterns:
+        every = F.lit(True)
+        for w in p:
+            every &= may_hold(F.col("text"), attribute, w)
+        some |= every
+    rows = S.tokenized(lines.where(some))
+    firsts = [p[0] for p in patterns] or [""]
+    rows = rows.where(F.exists("tokens", lambda t: t[attribute].isin(*firsts)))
     if cross_line:
-        side = rows.select("song_id", F.col("line_idx").alias("_l"), F.col("text").alias("_t"))
+        side = lines.select("song_id", F.col("line_idx").alias("_l"), F.col("text").alias("_t"))
         rows = rows.join(side.select("song_id", (F.col("_l") + 1).alias("line_idx"), F.col("_t").alias("before")), ["song_id", "line_idx"], "left")
         rows = rows.join(side.select("song_id", (F.col("_l") - 1).alias("line_idx"), F.col("_t").alias("after")), ["song_id", "line_idx"], "left")
     if not patterns:
         return rows.limit(0)
-    # a cheap test on the line's own tokens before anything is opened up
-    firsts = [p[0] for p in patterns]
-    rows = rows.where(F.exists("tokens", lambda t: t[attribute].isin(*firsts)))
     length = lambda i: F.coalesce(*[F.when(matches_at(i, p, attribute), F.lit(len(p))) for p in patterns])
     found = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("i"), length(i).alias("n"))), lambda x: x["n"].isNotNull())
     rows = rows.withColumn("_hit", F.explode(found)).withColumn("i", F.col("_hit.i")).withColumn("n", F.col("_hit.n"))
@@ -107,185 +111,75 @@ def sorted_hits(hits: DataFrame, sides: list[str], limit: int) -> DataFrame:
 
 # ---- token patterns ----
 
+#: Letters that tokens are written as, one for each combination of conditions.
+FIRST_LETTER, MOST_CONDITIONS = 0x4E00, 10
+
 
 @dataclass(frozen=True)
 class Item:
-    """One condition on a token, and how often it may hold in a row (``most`` None: without end)."""
+    """A condition on a token (a struct of surface, lemma, pos), and how often it holds in a row (``most`` None: without end). ``word``: attribute and value that
+    a token which meets it has."""
 
-    holds: Callable[[dict], bool]
+    holds: Callable[[Column], Column]
     least: int = 1
     most: int | None = 1
-    literal: tuple[str, str] | None = None
-
-
-@dataclass
-class Pattern:
-    items: list[Item] = field(default_factory=list)
-
-    def longest_at(self, tokens: list[dict], start: int) -> int:
-        """Tokens that the longest match from ``start`` takes; 0 if none."""
-        reach = {start}
-        for item in self.items:
-            now, step = set(reach) if item.least == 0 else set(), set(reach)
-            count = 0
-            while step and (item.most is None or count < item.most):
-                step = {p + 1 for p in step if p < len(tokens) and item.holds(tokens[p])}
-                count += 1
-                if count >= item.least:
-                    if step <= now:
-                        break
-                    now |= step
-            reach = now
-        return max(reach, default=start) - start
-
-    def find_all(self, tokens: list[dict]) -> list[tuple[int, int]]:
-        """(start, length) from left to right without overlap."""
-        out, at = [], 0
-        while at < len(tokens):
-            n = self.longest_at(tokens, at)
-            if n:
-                out.append((at, n))
-            at += max(1, n)
-        return out
-
-
-_LEX = re.compile(r'\s*(?:(\[)|(\])|(\()|(\))|(!=|=|!|&|\|)|"((?:[^"\\]|\\.)*)"|([?*+])|\{\s*(\d+)?\s*(,)?\s*(\d+)?\s*\}|([A-Za-z_]+))')
-
-
-class PatternError(ValueError):
-    pass
-
-
-def parse(query: str, default: str = "lemma") -> Pattern:
-    """A sequence of ``[attr="re" & attr!="re" | ...]``, ``[]`` (any token) or bare ``"re"``, each with ?, *, +, {m}, {m,n}, {m,} or {,n}.
-    Regular expressions match whole values. Queries that could match nothing are refused."""
-    tokens, at = [], 0
-    query = query.strip()
-    while at < len(query):
-        m = _LEX.match(query, at)
-        if not m or m.end() == at:
-            raise PatternError(f"unexpected {query[at:at + 8]!r}")
-        tokens.append(m)
-        at = m.end()
-    k = 0
-
-    def peek(group: int, value: str | None = None) -> bool:
-        return k < len(tokens) and tokens[k][group] is not None and (value is None or tokens[k][group] == value)
-
-    def expect(group: int, what: str):
-        nonlocal k
-        if not peek(group):
-            raise PatternError(f"{what} expected")
-        k += 1
-        return tokens[k - 1]
-
-    def test(attribute: str, value: str, same: bool):
-        if attribute not in FIELDS:
-            raise PatternError(f"no attribute {attribute}")
-        try:
-            whole = re.compile(value)
-        except re.error as e:
-            raise PatternError(str(e)) from None
-        return lambda t: (whole.fullmatch(t[attribute] or "") is not None) == same
-
-    def either():
-        nonlocal k
-        out = [both()]
-        while peek(5, "|"):
-            k += 1
-            out.append(both())
-        return out[0] if len(out) == 1 else lambda t: any(f(t) for f in out)
-
-    def both():
-        nonlocal k
-        out = [one()]
-        while peek(5, "&"):
-            k += 1
-            out.append(one())
-        return out[0] if len(out) == 1 else lambda t: all(f(t) for f in out)
-
-    def one():
-        nonlocal k
-        if peek(5, "!"):
-            k += 1
-            inner = one()
-            return lambda t: not inner(t)
-        if peek(3):
-            k += 1
-            inner = either()
-            expect(4, ")")
-            return inner
-        if peek(6):
-            k += 1
-            return test(default, tokens[k - 1][6], True)
-        attribute = expect(11, "attribute")[11]
-        sign = expect(5, "= or !=")[5]
-        if sign not in ("=", "!="):
-            raise PatternError("= or != expected")
-        return test(attribute, expect(6, "value")[6], sign == "=")
-
-    items = []
-    while k < len(tokens):
-        literal = None
-        if peek(1):
-            k += 1
-            if peek(2):
-                holds = lambda t: True
-            else:
-                plain = tokens[k : k + 4]
-                holds = either()
-                if len(plain) == 4 and plain[0][11] and plain[1][5] == "=" and plain[2][6] is not None and plain[3][2] and re.fullmatch(r"[\w ]+", plain[2][6]):
-                    literal = (plain[0][11], plain[2][6])
-            expect(2, "]")
-        elif peek(6):
-            value = tokens[k][6]
-            k += 1
-            holds = test(default, value, True)
-            literal = (default, value) if re.fullmatch(r"[\w ]+", value) else None
-        else:
-            raise PatternError("token expected")
-        least, most = 1, 1
-        if peek(7):
-            least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}[tokens[k][7]]
-            k += 1
-        elif k < len(tokens) and tokens[k][0].strip().startswith("{"):
-            m = tokens[k]
-            least = int(m[8] or 0)
-            most = int(m[10]) if m[10] else None if m[9] else least
-            k += 1
-            if most is not None and most < least:
-                raise PatternError("bounds out of order")
-        items.append(Item(holds, least, most, literal))
-    if not items or all(i.least == 0 for i in items):
-        raise PatternError("the query could match nothing")
-    return Pattern(items)
-
-
-def holds_word(attribute: str, value: str) -> Column:
-    return F.exists("tokens", lambda t: t[attribute] == value)
-
-
-def pattern_search(lines: DataFrame, query: str, default: str = "lemma", dedup: bool = False, limit: int | None = None) -> DataFrame:
-    """Matches of a token pattern: song_id, artist, line_idx, start, length, matched. Words that have to be there
-    are looked for in the JVM first; only lines that hold them reach the matcher."""
-    pattern = parse(query, default)
+    word: tuple[str, str] | None = None
+
+
+def word(value: str, attribute: str = "lemma", least: int = 1, most: int | None = 1) -> Item:
+    return Item(lambda t: t[attribute] == value, least, most, (attribute, value))
+
+
+def like(pattern: str, attribute: str = "lemma") -> Callable[[Column], Column]:
+    """Tokens whose whole value a regular expression matches."""
+    return lambda t: t[attribute].rlike(f"^(?:{pattern})$")
+
+
+#: Any token, up to once.
+ANY = Item(lambda t: F.lit(True), 0, 1)
+
+
+def may_hold(text: Column, attribute: str, value: str) -> Column:
+    """Texts that can have a token of that lemma or surface, by their letters alone; all for other attributes."""
+    return F.lower(text).contains(value) if attribute == "lemma" else text.contains(value) if attribute == "surface" else F.lit(True)
+
+
+def pattern_search(lines: DataFrame, items: list[Item], dedup: bool = False, limit: int | None = None) -> DataFrame:
+    """Runs of tokens that meet ``items`` one after the other: song_id, artist, line_idx, start, length, matched; the longest at each place, from
+    left to right without overlap.
+
+    Each token is written as the letter of the conditions that it meets, and the items are a regular expression over these. Words that have to be there are looked for in the raw text first, so that only
+    lines that may hold them are taken apart. ``dedup`` takes equal lines of a song once. Items that could all be missing are refused.
+    """
+    if not items or all(i.least == 0 for i in items) or len(items) > MOST_CONDITIONS or any(i.least < 0 or (i.most is not None and i.most < max(1, i.least)) for i in items):
+        raise ValueError(f"one to {MOST_CONDITIONS} items, not all of which may be missing, with bounds in order")
+    needed = [i.word for i in items if i.least > 0 and i.word]
+    for n in needed:
+        lines = lines.where(may_hold(F.col("text"), *n))
     rows = S.tokenized(lines)
-    for item in pattern.items:
-        if item.least > 0 and item.literal:
-            rows = rows.where(holds_word(*item.literal))
+    for attribute, value in needed:
+        rows = rows.where(F.exists("tokens", _is(attribute, value)))
     if dedup:
         nth = F.row_number().over(Window.partitionBy("song_id", "text").orderBy("line_idx"))
         rows = rows.withColumn("_nth", nth).where("_nth = 1")
+    letters = [chr(FIRST_LETTER + k) for k in range(1 << len(items))]
+    number = lambda t: sum((F.when(i.holds(t), 1 << k).otherwise(0) for k, i in enumerate(items)), F.lit(0))
+    bounds = lambda i: f"{{{i.least},{'' if i.most is None else i.most}}}"
+    pattern = "".join(f"[{''.join(c for n, c in enumerate(letters) if n >> k & 1)}]{bounds(i)}" for k, i in enumerate(items))
+    rows = rows.withColumn("_line", F.array_join(F.transform("tokens", lambda t: F.substring(F.lit("".join(letters)), number(t) + 1, F.lit(1))), ""))
+    rows = rows.where(F.col("_line").rlike(pattern))
+    group = lambda n: F.transform(F.regexp_extract_all("_line", F.lit(f"(.*?)({pattern})"), F.lit(n)), F.length)
+    pairs = F.zip_with(group(1), group(2), lambda before, n: F.struct(before.alias("before"), n.alias("n")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("found"))
+    placed = F.aggregate(pairs, start, lambda a, p: F.struct((a["at"] + p["before"] + p["n"]).alias("at"), F.concat(a["found"], F.array(F.struct((a["at"] + p["before"]).alias("start"), p["n"].alias("n")))).alias("found")))["found"]
+    hits = rows.select("song_id", "artist", "line_idx", "tokens", F.explode(placed).alias("m"))
+    matched = F.array_join(F.transform(F.slice("tokens", F.col("m.start") + 1, F.col("m.n")), lambda t: t["surface"]), " ")
+    found = hits.select("song_id", "artist", "line_idx", F.col("m.start").cast("long").alias("start"), F.col("m.n").cast("long").alias("length"), matched.alias("matched"))
+    return found.orderBy("artist", "song_id", "line_idx", "start").limit(limit) if limit and limit > 0 else found
 
-    def run(batches):
-        for batch in batches:
-            out = [(s, a, n, start, length, " ".join(t["surface"] for t in tokens[start : start + length])) for s, a, n, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True) for start, length in pattern.find_all(tokens)]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["song_id", "artist", "line_idx", "start", "length", "matched"])
 
-    found = rows.select("song_id", "artist", "line_idx", "tokens").mapInArrow(run, "song_id long, artist string, line_idx long, start long, length long, matched string")
-    return found.orderBy("artist", "song_id", "line_idx", "start").limit(limit) if limit and limit > 0 else found
+def _is(attribute: str, value: str) -> Callable[[Column], Column]:
+    return lambda t: t[attribute] == value
 
 
 # ---- full text ----
@@ -362,7 +256,7 @@ def quick_search(songs: DataFrame, people: DataFrame, albums: DataFrame, words:
 
 def diverse_examples(lines: DataFrame, lemma: str, limit: int = 10) -> DataFrame:
     """Lines with a word: different texts, songs not seen yet first, then more of the same songs."""
-    rows = S.tokenized(lines).where(F.exists("tokens", lambda t: t["lemma"] == lemma)).select("song_id", "line_idx", "text")
+    rows = S.tokenized(lines.where(may_hold(F.col("text"), "lemma", lemma))).where(F.exists("tokens", lambda t: t["lemma"] == lemma)).select("song_id", "line_idx", "text")
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("text").orderBy("song_id", "line_idx"))).where("_n = 1")
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("song_id").orderBy("line_idx")).cast("long"))
     return rows.orderBy(F.col("nth") > 1, "song_id", "line_idx").limit(limit).select("song_id", "line_idx", "text", "nth")

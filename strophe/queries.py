@@ -346,12 +346,20 @@ def kwic_cross_line(spark, sf_dir):
 s AS (SELECT *, lead(surface) OVER w AS after, lead(pos) OVER w AS p2 FROM tokens WINDOW w AS (PARTITION BY song_id, line_idx ORDER BY token_idx))
 SELECT song_id, artist, line_idx::BIGINT AS line_idx, token_idx::BIGINT AS start, 2::BIGINT AS length, surface || ' ' || after AS matched FROM s WHERE lemma = 'worthless' AND p2 = 'NOUN'""")
 def cql_two_token(spark, sf_dir):
-    return search.pattern_search(T.lines(spark, sf_dir), '[lemma="worthless"] [pos="NOUN"]')
+    return search.pattern_search(T.lines(spark, sf_dir), [search.word("worthless"), search.Item(lambda t: t["pos"] == "NOUN")])
 
 
-@query()
+# in SQL tokens are letters: o the word of, which is ADP too, a other ADP, t other words in th-, x the rest
+CQL_ITEMS = [search.Item(lambda t: t["pos"] == "ADP", 2, None), search.Item(lambda t: search.like("th.*")(t) & (t["pos"] != "ADP")), search.ANY, search.word("of")]
+
+
+@query(LT + """,
+e AS (SELECT song_id, artist, line_idx, list(surface ORDER BY token_idx) AS w, string_agg(CASE WHEN lemma = 'of' THEN 'o' WHEN pos = 'ADP' THEN 'a' WHEN starts_with(lemma, 'th') THEN 't' ELSE 'x' END, '' ORDER BY token_idx) AS s FROM tokens GROUP BY ALL),
+m AS (SELECT song_id, artist, line_idx, w, list_transform(regexp_extract_all(s, '(.*?)([ao]{2,}t[aotx]?o)', 1), lambda x: length(x)) AS b, list_transform(regexp_extract_all(s, '(.*?)([ao]{2,}t[aotx]?o)', 2), lambda x: length(x)) AS n FROM e WHERE regexp_matches(s, '[ao]{2,}t[aotx]?o')),
+r AS (SELECT song_id, artist, line_idx, w, unnest(n) AS length, unnest(list_transform(range(1, len(n) + 1), lambda i: list_sum(b[1:i]) + coalesce(list_sum(n[1:i - 1]), 0))) AS start FROM m)
+SELECT song_id, artist, line_idx::BIGINT AS line_idx, start::BIGINT AS start, length::BIGINT AS length, array_to_string(w[start + 1:start + length], ' ') AS matched FROM r""")
 def cql_search(spark, sf_dir):
-    return search.pattern_search(T.lines(spark, sf_dir), '[pos="ADP"]{2,} [lemma="th.*" & pos!="ADP"] []? "of"')
+    return search.pattern_search(T.lines(spark, sf_dir), CQL_ITEMS)
 
 
 @query(with_("lines") + " SELECT song_id, artist, line_idx::BIGINT AS line_idx, text, instr(lower(text), 'worthless')::BIGINT AS at FROM lines WHERE contains(lower(text), 'worthless')")

@@ -108,31 +108,65 @@ def test_kwic_rebuilds_the_line(mini):
     assert [r.repeat_count for r in search.kwic(mini, ("wind",), dedup=True).orderBy("song_id").collect()] == [2, 2]
 
 
-TOKENS = [dict(surface=s, lemma=s, pos=p) for s, p in zip("a b c c d e , f".split(), "X Y N N V N P N".split(), strict=True)]
+def plain_matches(tokens, items):
+    """All ways from each place, the longest taken, from left to right."""
+
+    def ends(at, rest):
+        if not rest:
+            return {at}
+        (holds, least, most), out, k = rest[0], set(), 0
+        while True:
+            if k >= least:
+                out |= ends(at + k, rest[1:])
+            if (most is not None and k >= most) or at + k >= len(tokens) or not holds(tokens[at + k]):
+                return out
+            k += 1
+
+    out, at = [], 0
+    while at < len(tokens):
+        n = max(ends(at, items), default=at) - at
+        if n:
+            out.append((at, n))
+        at += max(1, n)
+    return out
+
+
+NOUN, ADP = (lambda t: t["pos"] == "NOUN"), (lambda t: t["pos"] == "ADP")
+B = lambda t: t["lemma"].startswith("b")  # noqa: E731  of a dict and of a column
 
 
 @pytest.mark.parametrize(
-    ("query", "want"),
+    "items",
     [
-        ('"a" "b"', [(0, 2)]),
-        ('"c"+', [(2, 2)]),
-        ('"b" []* "d"', [(1, 4)]),
-        ('[pos="N"]{2}', [(2, 2)]),
-        ('[pos="N" & lemma!="c"]', [(5, 1), (7, 1)]),
-        ('[!(pos="N" | pos="P")]', [(0, 1), (1, 1), (4, 1)]),
-        ('"c"? "d"', [(3, 2)]),
-        ('[lemma="[ab]"]{1,}', [(0, 2)]),
-        ('"c" "x"? "d" | "z"' if False else '"c" "x"? "d"', [(3, 2)]),
+        [(ADP, 1, 1), (NOUN, 1, 1)], [(NOUN, 1, None)], [(B, 1, 1), (ADP, 0, None), (NOUN, 1, 1)], [(NOUN, 2, 2)], [(ADP, 0, 1), (NOUN, 1, 2), (B, 0, 1)], [(ADP, 0, None), (B, 1, 1), (NOUN, 0, 2), (ADP, 1, None)], [(B, 0, 1), (B, 2, 3), (ADP, 0, 3)],
+        [(ADP, 0, 2), (B, 1, 2), (ADP, 2, 3), (B, 0, None)], [(ADP, 2, None), (NOUN, 1, 1), (ADP, 0, 1), (B, 1, 1)],
     ],
-)
-def test_token_patterns(query, want):
-    assert search.parse(query).find_all(TOKENS) == want
-
-
-@pytest.mark.parametrize("query", ["", '"a"?', "[]*", '[lemma="(]', '[nope="a"]', '"a" {', '[lemma="a"', '"a"{3,2}'])
-def test_bad_token_patterns(query):
-    with pytest.raises(search.PatternError):
-        search.parse(query)
+)
+def test_token_patterns_equal_all_ways(spark, items):
+    import random
+
+    rng = random.Random(9)
+    lines = [(1, "a", k, " ".join(rng.choice(["bab", "ba", "abcd", "bcde", "x", ","]) for _ in range(rng.randint(1, 14)))) for k in range(60)]
+    rows = spark.createDataFrame(lines, "song_id long, artist string, line_idx long, text string")
+    got = {}
+    for r in search.pattern_search(rows, [search.Item(*i) for i in items]).collect():
+        got.setdefault(r.line_idx, []).append((r.start, r.length))
+    tokens = {r.line_idx: [t.asDict() for t in r.tokens] for r in stream.tokenized(rows).collect()}
+    assert {k: sorted(v) for k, v in got.items()} == {k: m for k, t in tokens.items() if (m := plain_matches(t, items))}
+
+
+def test_token_patterns_by_words(spark, mini):
+    hits = search.pattern_search(mini, [search.word("in"), search.ANY, search.Item(search.like("n.*ht"))]).collect()
+    assert {r.matched for r in hits} <= {"in the night", "in night"}
+    long = spark.createDataFrame([(1, "a", 0, "go on " * 5_000)], "song_id long, artist string, line_idx long, text string")
+    assert search.pattern_search(long, [search.word("go"), search.word("on")]).count() == 5_000
+    assert search.pattern_search(mini, [search.word("wind")], dedup=True).count() <= search.pattern_search(mini, [search.word("wind")]).count()
+
+
+@pytest.mark.parametrize("items", [[], [search.ANY], [search.word("a", least=3, most=2)], [search.word("a", least=0)], [search.word("a")] * 11])
+def test_bad_token_patterns(mini, items):
+    with pytest.raises(ValueError):
+        search.pattern_search(mini, items)
 
 
 def test_full_text_treats_signs_as_they_are(mini):

@@ -78,7 +78,7 @@ POS_SQL = r"CASE WHEN NOT regexp_matches(surface, '^[\p{L}\p{N}]') THEN 'PUNCT'
 SQL = {
     "tokens": f"""tokens AS MATERIALIZED (SELECT *, lower(surface) AS lemma, {POS_SQL} AS pos FROM (SELECT song_id, artist, language, line_idx, text, repeat, generate_subscripts(x, 1) - 1 AS token_idx, unnest(x) AS surface
         FROM (SELECT *, regexp_extract_all(text, {TOKEN_SQL}) AS x, row_number() OVER (PARTITION BY song_id, text ORDER BY line_idx) > 1 AS repeat FROM lines)))""",
-    "kept": """kept AS (SELECT *, row_number() OVER (PARTITION BY song_id, line_idx ORDER BY token_idx) - 1 AS idx,
+    "kept": """kept AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY song_id, line_idx ORDER BY token_idx) - 1 AS idx,
         coalesce(token_idx - lag(token_idx) OVER (PARTITION BY song_id, line_idx ORDER BY token_idx) > 1, false) AS gap_before FROM tokens WHERE pos NOT IN ('PUNCT', 'SYM'))""",
 }
 __all__ = ["DISTINCT_LINES", "TOKENS", "counted", "marked", "positions", "song_sizes", "stream", "tokenized"]

@@ -268,7 +268,19 @@ def corp_mattr(spark, sf_dir):
     return rounded(lexical.mattr(tokens(spark, sf_dir)))
 
 
-@query()
+MTLD_FOLD = """list_reduce(x, lambda a, e: CASE WHEN (a.types + CASE WHEN e < a.start THEN 1 ELSE 0 END) / (a.i - a.start + 1) <= 0.72::DOUBLE
+    THEN {'i': a.i + 1, 'start': a.i + 1, 'types': 0.0::DOUBLE, 'done': a.done + 1} ELSE {'i': a.i + 1, 'start': a.start, 'types': a.types + CASE WHEN e < a.start THEN 1 ELSE 0 END, 'done': a.done} END, {'i': 0::BIGINT, 'start': 0::BIGINT, 'types': 0.0::DOUBLE, 'done': 0.0::DOUBLE})"""
+
+
+# where each word stood last before, in both directions, folded into factors one word after another
+@query(TOK + f""",
+u AS (SELECT song_id, lemma, row_number() OVER (PARTITION BY song_id ORDER BY line_idx, idx) - 1 AS j, count(*) OVER (PARTITION BY song_id) AS n FROM kept WHERE NOT repeat),
+d AS (SELECT song_id, lemma, n, 0 AS way, j FROM u UNION ALL SELECT song_id, lemma, n, 1, n - 1 - j FROM u),
+e AS (SELECT song_id, way, n, j, coalesce(lag(j) OVER (PARTITION BY song_id, way, lemma ORDER BY j), -1) AS earlier FROM d),
+l AS (SELECT song_id, way, n, list(earlier ORDER BY j) AS x FROM e GROUP BY ALL),
+f AS (SELECT song_id, n, {MTLD_FOLD} AS s FROM l),
+g AS (SELECT song_id, n, s.done + CASE WHEN s.i > s.start THEN (1 - s.types / (s.i - s.start)) / (1 - 0.72::DOUBLE) ELSE 0 END AS k FROM f)
+SELECT song_id::BIGINT AS key, round(CASE WHEN min(k) > 0 THEN avg(n / k) END, 6) AS mtld FROM g GROUP BY song_id""")
 def corp_mtld(spark, sf_dir):
     return rounded(lexical.mtld(tokens(spark, sf_dir)))
 
@@ -291,8 +303,8 @@ def corp_orthography(spark, sf_dir):
 
 LT = with_("lines", "tokens")
 KWIC_SQL = """,
-c AS (SELECT *, pos NOT IN ('PUNCT', 'SYM') AS content FROM tokens),
-h AS (SELECT song_id, artist, line_idx, token_idx, text FROM ({hits})),
+h AS MATERIALIZED (SELECT song_id, artist, line_idx, token_idx, text FROM ({hits})),
+c AS MATERIALIZED (SELECT *, pos NOT IN ('PUNCT', 'SYM') AS content FROM tokens WHERE (song_id, line_idx) IN (SELECT (song_id, line_idx) FROM h)),
 l AS (SELECT h.song_id, h.line_idx, h.token_idx, string_agg(surface, ' ' ORDER BY r) AS words FROM (SELECT h.song_id, h.line_idx, h.token_idx, c.surface, row_number() OVER (PARTITION BY h.song_id, h.line_idx, h.token_idx ORDER BY c.token_idx DESC) AS r
       FROM h JOIN c ON c.song_id = h.song_id AND c.line_idx = h.line_idx AND c.token_idx < h.token_idx AND content) h WHERE r <= 5 GROUP BY ALL),
 g AS (SELECT h.song_id, h.line_idx, h.token_idx, string_agg(surface, ' ' ORDER BY r) AS words FROM (SELECT h.song_id, h.line_idx, h.token_idx, c.surface, row_number() OVER (PARTITION BY h.song_id, h.line_idx, h.token_idx ORDER BY c.token_idx) AS r
@@ -367,7 +379,17 @@ def fts_search(spark, sf_dir):
     return search.full_text(T.lines(spark, sf_dir), "worthless").drop("rank")
 
 
-@query()
+GRAMS = sorted({"worthless"[i : i + 3] for i in range(7)})
+BM25_SQL = " - ".join(
+    f"ln(1 + (N - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * size / mean))" for i in range(len(GRAMS))
+)
+
+
+@query(with_("lines") + f""",
+st AS (SELECT count(*) AS N, avg(greatest(length(text) - 2, 0)) AS mean, {", ".join(f"count(*) FILTER (WHERE contains(lower(text), '{g}'))::DOUBLE AS df{i}" for i, g in enumerate(GRAMS))} FROM lines),
+h AS (SELECT *, greatest(length(text) - 2, 0) AS size, list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3)) AS g FROM lines WHERE contains(lower(text), 'worthless')),
+r AS (SELECT *, {", ".join(f"len(list_filter(g, lambda x: x = '{g}'))::DOUBLE AS tf{i}" for i, g in enumerate(GRAMS))} FROM h)
+SELECT song_id, artist, line_idx::BIGINT AS line_idx, text, instr(lower(text), 'worthless')::BIGINT AS at, round(0 - {BM25_SQL}, 6) AS rank FROM r, st ORDER BY round(0 - {BM25_SQL}, 9), artist, song_id, line_idx LIMIT 100""")
 def fts_ranked(spark, sf_dir):
     return rounded(search.full_text(T.lines(spark, sf_dir), "worthless", limit=100))
 

@@ -210,6 +210,24 @@ def test_line_links_are_similar_and_few_are_missed(docs_of, spark):
     assert connected >= 0.98 * len(similar)
 
 
+def test_changed_long_words_among_short_ones_lose_no_link(docs_of, spark):
+    rng = random.Random(22)
+    short = "a an the of to in we he it is on at by had have was not and but for my so us no do go me up".split()
+    longer = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(5, 9))) for _ in range(4000)]
+    for n, changed in ((5, 1), (6, 1), (10, 2), (15, 3)):
+        lines = []
+        for _ in range(60):
+            at = rng.sample(range(n), changed)
+            words = [rng.choice(longer) if k in at else rng.choice(short) for k in range(n)]
+            lines += [words, [rng.choice(longer) if k in at else w for k, w in enumerate(words)]]
+        found, names = linked_pairs(docs_of([(k, " ".join(w)) for k, w in enumerate(lines)]))
+        similar = {frozenset(p) for p in similar_pairs(names)}
+        top = closed(found, names)
+        connected = sum(top[a] == top[b] for a, b in similar)
+        print(n, changed, connected / len(similar))
+        assert {frozenset(p) for p in found} <= similar and len(similar) >= 50 and connected >= 0.98 * len(similar)
+
+
 def test_lines_left_out_by_a_block_head_are_compared(docs_of, spark):
     shared = "one two three four five six seven"
     lines = [f"{shared} {' '.join(f'{c}{k}' for k in range(9))}" for c in "abcdef"]

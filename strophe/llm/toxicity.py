@@ -48,7 +48,12 @@ class _Table(dict):
 _TABLE = _Table({ord(a): b for a, b in zip(LOOK_ALIKE, LATIN, strict=True)})
 _SIGNS = str.maketrans(SIGNS, LETTERS)
 _MIXED = re.compile(r"[^\s0-9@$][0-9@$]|[0-9@$][^\s0-9@$]")
-_SIGNED_WORD = re.compile(r"\S*[0-9@$]\S*")
+_SIGN = re.compile(r"[0-9@$]")
+
+
+def _read(word: str) -> str:
+    """A word with its signs read as letters, if it holds letters and few digits."""
+    return word.translate(_SIGNS) if _SIGN.search(word) and any(c.isalpha() for c in word) and sum(c.isdigit() for c in word) <= 4 else word
 
 
 def fold(text: str) -> str:
@@ -58,7 +63,7 @@ def fold(text: str) -> str:
         text = unicodedata.normalize("NFKC", text)
     text = text.lower().translate(_TABLE)
     if _MIXED.search(text):
-        text = _SIGNED_WORD.sub(lambda m: m[0].translate(_SIGNS) if any(c.isalpha() for c in m[0]) and sum(c.isdigit() for c in m[0]) <= 4 else m[0], text)
+        text = " ".join(map(_read, text.split()))
     return " " + " ".join(text.replace("@", " ").replace("$", " ").split()) + " "
 
 
@@ -101,8 +106,13 @@ class Matcher:
                     spared.append((start, end + 1))
                 elif start not in found or weight > found[start][1]:
                     found[start] = (end + 1, weight)
-        for a, b in spared:
-            for start in [s for s in found if a <= s and found[s][0] <= b]:
+        # from left to right: how far exceptions that have begun reach
+        spared.sort()
+        reach = n = 0
+        for start in sorted(found) if spared else ():
+            while n < len(spared) and spared[n][0] <= start:
+                reach, n = max(reach, spared[n][1]), n + 1
+            if found[start][0] <= reach:
                 del found[start]
         return found
 

@@ -63,10 +63,10 @@ def test_shards_are_exact_and_hold_every_row(spark, docs_of, odd_rows, monkeypat
 def test_every_place_is_equally_likely(spark):
     docs = common.cut(spark.range(12, numPartitions=3).selectExpr("id AS doc_id", "'t' AS text"))
     at = np.zeros((12, 12))
-    for seed in range(24):
+    for seed in range(12):
         for r in sharding.shuffle(docs, 3, seed).collect():
             at[r.doc_id, r.shard * 4 + r.slot] += 1
-    assert ((at - 2) ** 2 / 2).sum() < 121 + 5 * math.sqrt(2 * 121)
+    assert ((at - 1) ** 2).sum() < 121 + 5 * math.sqrt(2 * 121)
 
 
 def test_shuffle_refuses_rows_that_change(spark):
@@ -125,7 +125,7 @@ def brute_manifest(rows):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("langs", [["en"], [None, "en", "é", "z", "Z"], list("abcdefghijk")])
+@pytest.mark.parametrize("langs", [["en"], [None, "en", "é", "z", "Z", *"abcdef"]])
 def test_proofs_equal_brute_force(spark, docs_of, odd_rows, langs):
     from pyspark.sql import functions as F
 
@@ -137,7 +137,7 @@ def test_proofs_equal_brute_force(spark, docs_of, odd_rows, langs):
     assert {r.verified for r in got} == {True, False}
 
 
-@pytest.mark.parametrize("n", [1, 2, 8, 9, 64, 65, 513])
+@pytest.mark.parametrize("n", [1, 8, 9, 513])
 def test_requests_for_some_leaves(spark, n):
     from pyspark.sql import functions as F
 

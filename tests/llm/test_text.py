@@ -370,3 +370,25 @@ def test_toxicity(docs_of, prose, spark):
     assert lexicon.matcher().hits(toxicity.fold("a rottenword vilething b")) == {}
     assert toxicity.score_documents(docs.limit(0), label_rows).count() == 0
     assert {r.predicted for r in toxicity.score_documents(docs, label_rows.limit(0)).collect()} == {0}
+
+
+def test_toxicity_of_long_words_and_many_exceptions_takes_linear_time():
+    import time
+
+    from strophe.llm import toxicity
+
+    lexicon = toxicity.Lexicon({" bad": 1.0, " badger ": 2.0, " vile ": 1.0}, (" badger ", " vile bad "), (-4.0, 1.0, 1.0, 0.0))
+    matcher, began = lexicon.matcher(), time.perf_counter()
+    assert toxicity.fold("a1 b " + "x" * 1_000_000).startswith(" ai b xxx")
+    assert len(matcher.hits(" " + "badger bad " * 50_000)) == 50_000
+    assert time.perf_counter() - began < 5
+    # every exception against every hit
+    rng = random.Random(4)
+    for _ in range(200):
+        text = " " + " ".join(rng.choices(["bad", "badger", "vile", "good", "badly"], k=12)) + " "
+        plain = toxicity.Lexicon(lexicon.weights).matcher().hits(text)
+        spans = [(i, i + len(e)) for e in lexicon.exceptions for i in range(len(text)) if text.startswith(e, i)]
+        assert matcher.hits(text) == {s: h for s, h in plain.items() if not any(a <= s and h[0] <= b for a, b in spans)}
+    for text in ("b4d sh1t", "a@b", "1234567a", "x $5", "p@$$w0rd 12 a1b2c3d4e5", "\tq1\n"):
+        old = re.sub(r"\S*[0-9@$]\S*", lambda m: m[0].translate(toxicity._SIGNS) if any(c.isalpha() for c in m[0]) and sum(c.isdigit() for c in m[0]) <= 4 else m[0], text)
+        assert toxicity.fold(text) == " " + " ".join(old.replace("@", " ").replace("$", " ").split()) + " "

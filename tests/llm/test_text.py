@@ -45,7 +45,6 @@ def test_cascade_order_does_not_change_the_verdict(docs_of, prose):
 
 def test_a_long_run_without_blanks_is_read_once(docs_of, prose):
     import time
-
     docs = docs_of([(1, prose(1, 80) + " " + "0" * 1_000_000), (2, "#" * 1_000_000), (3, "... " * 200_000)])
     began = time.perf_counter()
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols) for r in quality.assess(docs).collect()}
@@ -375,9 +374,7 @@ def test_toxicity(docs_of, prose, spark):
 def test_toxicity_of_long_words_and_many_exceptions_takes_linear_time():
     import time
 
-    from strophe.llm import toxicity
-
-    lexicon = toxicity.Lexicon({" bad": 1.0, " badger ": 2.0, " vile ": 1.0}, (" badger ", " vile bad "), (-4.0, 1.0, 1.0, 0.0))
+    lexicon = toxicity.Lexicon({" bad": 1.0, " badge": 2.0, " vile ": 1.0}, (" badger ", " vile bad "), (-4.0, 1.0, 1.0, 0.0))
     matcher, began = lexicon.matcher(), time.perf_counter()
     assert toxicity.fold("a1 b " + "x" * 1_000_000).startswith(" ai b xxx")
     assert len(matcher.hits(" " + "badger bad " * 50_000)) == 50_000

@@ -775,4 +775,4 @@ def pick_words(spark, sf_dir):
     return frequency.pick_words(tokens(spark, sf_dir), ("NOUN",), 5)
 
 
-from strophe import queries_history, queries_library, queries_matching, queries_spans, queries_words  # noqa: E402, F401  they register their queries
+from strophe import queries_history, queries_library, queries_matching, queries_morphology, queries_spans, queries_words  # noqa: E402, F401  they register their queries

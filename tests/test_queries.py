@@ -23,7 +23,7 @@ import importlib.abc, sys
 class Gone(importlib.abc.MetaPathFinder):
     def find_spec(self, name, path=None, target=None):
         if name.startswith("strophe.llm") or name == "corpus_pipeline":
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert "corp_dispersion" in e.queries() and "pipeline" not in e.queries() and e.oracle_sql()

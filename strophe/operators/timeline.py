@@ -19,18 +19,34 @@ def estimated_duration(text: Column) -> Column:
     return F.greatest(F.lit(5.0), F.least(F.lit(12.0), 3 + 0.25 * F.length(text)))
 
 
-def line_spans(lines: DataFrame, durations: DataFrame | None = None) -> DataFrame:
-    """start_sec, end_sec and kind of each timed line. The end is the start of the first later line, in line order, with a greater time
-    if that is within the estimate, else the estimate, cut at the song's end.
+#: Lines of a song whose latest time is known together, where the next line does not start later.
+TOGETHER = 64
+
+
+def next_later(timed: DataFrame) -> DataFrame:
+    """song_id, line_idx, time_sec, text and _end: the start of the first later line, in line order, with a greater time.
 
-    Lines meet only later lines of their own song; times that run on normally are found by the next line alone.
+    The next line settles nearly all. The others look on in their own stretch of lines, then for the first stretch whose latest time is
+    later, and only into that one, so no row carries the rest of its song.
     """
-    timed = lines.where("time_sec IS NOT NULL").select("song_id", "line_idx", "time_sec", "text")
     song = Window.partitionBy("song_id").orderBy("line_idx")
-    rows = timed.withColumn("_next", F.lead("time_sec").over(song))
-    # where the next line does not start later, look on through the song's own later lines
-    later = F.filter(F.collect_list("time_sec").over(song.rowsBetween(1, Window.unboundedFollowing)), lambda t: t > F.col("time_sec"))
-    rows = rows.withColumn("_end", F.when(F.col("_next") > F.col("time_sec"), F.col("_next")).otherwise(F.get(later, F.lit(0))))
+    rows = timed.withColumns({"_next": F.lead("time_sec").over(song), "_n": F.row_number().over(song)}).withColumn("_part", F.floor(F.col("_n") / TOGETHER))
+    open_ = rows.where(F.col("_next") <= F.col("time_sec")).select("song_id", F.col("_n").alias("of"), F.col("time_sec").alias("t"), F.col("_part").alias("p"))
+    near = rows.select("song_id", F.col("_n").alias("n"), F.col("time_sec").alias("t2"), F.col("_part").alias("p"))
+    first = F.min_by("t2", "n").alias("_later")
+    own = open_.join(near, ["song_id", "p"]).where("n > of AND t2 > t").groupBy("song_id", "of").agg(first)
+    latest = rows.groupBy("song_id", F.col("_part").alias("p2")).agg(F.max("time_sec").alias("most"))
+    far = open_.join(own, ["song_id", "of"], "left_anti").join(latest, "song_id").where("p2 > p AND most > t").groupBy("song_id", "of", "t").agg(F.min("p2").alias("p"))
+    far = far.join(near, ["song_id", "p"]).where("t2 > t").groupBy("song_id", "of").agg(first)
+    found = own.unionByName(far).withColumnRenamed("of", "_n")
+    end = F.when(F.col("_next") > F.col("time_sec"), F.col("_next")).otherwise(F.col("_later"))
+    return rows.join(found, ["song_id", "_n"], "left").select("song_id", "line_idx", "time_sec", "text", end.alias("_end"))
+
+
+def line_spans(lines: DataFrame, durations: DataFrame | None = None) -> DataFrame:
+    """start_sec, end_sec and kind of each timed line. The end is the start of the first later line, in line order, with a greater time
+    if that is within the estimate, else the estimate, cut at the song's end."""
+    rows = next_later(lines.where("time_sec IS NOT NULL").select("song_id", "line_idx", "time_sec", "text"))
     guess = F.col("time_sec") + estimated_duration(F.col("text"))
     near = F.col("_end").isNotNull() & (F.col("_end") <= guess)
     end = F.when(near, F.col("_end")).otherwise(guess)

@@ -346,3 +346,13 @@ def test_token_table_is_written_once_and_again_when_documents_change(spark, tmp_
     known = len(token_table._WRITTEN)
     assert len(token_table.token_table(spark, str(tmp_path)).collect()) == 6 and len(token_table._WRITTEN) == known
     assert len(write(["four"])) == 1 and write([]) == []
+
+
+def test_next_later_line_equals_a_plain_walk(spark):
+    rng = random.Random(12)
+    rows = [(s, k * 2, float(t), "x") for s in range(6) for k, t in enumerate([rng.randrange(400) if s < 4 else 400 - j // 3 for j in range(300)])]
+    got = {(r.song_id, r.line_idx): r._end for r in timeline.next_later(spark.createDataFrame(rows, "song_id int, line_idx int, time_sec double, text string")).collect()}
+    for s in range(6):
+        lines = [r for r in rows if r[0] == s]
+        for k, r in enumerate(lines):
+            assert got[s, r[1]] == next((x[2] for x in lines[k + 1 :] if x[2] > r[2]), None)

@@ -13,15 +13,17 @@ MEASURES = ("log_dice", "mi", "log_likelihood", "mi3", "delta_p", "freq")
 
 
 def neighbours(tokens: DataFrame, node: str, left: int, right: int) -> DataFrame:
-    """Tokens around each occurrence of ``node`` in its line: lemma, pos, song_id, side (-1 or 1). Only lines that hold the
-    node are opened up, and each line's words meet within the line's own row."""
-    word = F.struct("idx", "lemma", "pos")
-    rows = tokens.groupBy("song_id", "line_idx").agg(F.sort_array(F.collect_list(word)).alias("w"))  # a line
-    rows = rows.where(F.exists("w", lambda x: x["lemma"] == node))
-    at = F.filter(F.transform("w", lambda x, i: F.when(x["lemma"] == node, i)), lambda i: i.isNotNull())
-    rows = rows.select("song_id", "w", F.explode(at).alias("i"))
-    near = F.filter(F.transform("w", lambda x, j: F.struct(x["lemma"].alias("lemma"), x["pos"].alias("pos"), (j - F.col("i")).alias("d"))), lambda x: (x["d"] >= -left) & (x["d"] <= right) & (x["d"] != 0))
-    return rows.select("song_id", F.explode(near).alias("x")).select("song_id", "x.lemma", "x.pos", F.sign("x.d").cast("int").alias("side"))
+    """Tokens around each occurrence of ``node`` in its line: lemma, pos, song_id, side (-1 or 1).
+
+    Lines are cut into stretches as long as the window; an occurrence meets the one or two stretches that its window touches. So only what stands near the node is joined, in
+    lines of any length, and the other lines' tokens go no further than the scan where the occurrences are few.
+    """
+    width = left + right + 1
+    at = tokens.where(F.col("lemma") == node).select("song_id", "line_idx", F.col("idx").alias("_at"))
+    at = at.withColumn("_part", F.explode(F.sequence(F.floor((F.col("_at") - left) / width), F.floor((F.col("_at") + right) / width))))
+    rows = tokens.select("song_id", "line_idx", "idx", "lemma", "pos", F.floor(F.col("idx") / width).alias("_part"))
+    met = rows.join(at, ["song_id", "line_idx", "_part"]).withColumn("_d", F.col("idx") - F.col("_at"))
+    return met.where((F.col("_d") >= -left) & (F.col("_d") <= right) & (F.col("_d") != 0)).select("song_id", "lemma", "pos", F.sign("_d").cast("int").alias("side"))
 
 
 def collocations(tokens: DataFrame, node: str, left: int = 5, right: int = 5, unit: str = TOKENS, min_freq: int = 2, pos: str | None = None, content_only: bool = False, measure: str = "log_dice", limit: int | None = 100) -> DataFrame:
@@ -64,9 +66,12 @@ def network(tokens: DataFrame, node: str, left: int = 5, right: int = 5, unit: s
     best = collocations(tokens, node, left, right, unit, min_freq, limit=nodes).select("lemma").distinct()
     chosen = rows.join(F.broadcast(best), "lemma").select("song_id", "line_idx", "idx", "lemma")  # at most ``nodes`` words
     freq = chosen.groupBy("lemma").agg(F.count("*").alias("f"))
-    line = chosen.groupBy("song_id", "line_idx").agg(F.sort_array(F.collect_list(F.struct("idx", "lemma"))).alias("w"))
-    ahead = F.flatten(F.transform("w", lambda x: F.transform(F.filter("w", lambda y: (y["idx"] > x["idx"]) & (y["idx"] - x["idx"] <= window) & (y["lemma"] != x["lemma"])), lambda y: F.struct(F.least(x["lemma"], y["lemma"]).alias("a"), F.greatest(x["lemma"], y["lemma"]).alias("b")))))
-    pairs = line.select(F.explode(ahead).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("freq")).where(F.col("freq") >= max(1, min_freq))
+    # places meet those up to a window after them: in their own stretch of the line and the next one
+    stretch = F.floor(F.col("idx") / window)
+    one = chosen.select("song_id", "line_idx", F.col("idx").alias("i"), F.col("lemma").alias("x"), F.explode(F.array(stretch, stretch + 1)).alias("part"))
+    two = chosen.select("song_id", "line_idx", F.col("idx").alias("j"), F.col("lemma").alias("y"), stretch.alias("part"))
+    near = one.join(two, ["song_id", "line_idx", "part"]).where((F.col("j") > F.col("i")) & (F.col("j") - F.col("i") <= window) & (F.col("x") != F.col("y")))
+    pairs = near.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("freq")).where(F.col("freq") >= max(1, min_freq))
     fa, fb = freq.select(F.col("lemma").alias("a"), F.col("f").alias("fa")), freq.select(F.col("lemma").alias("b"), F.col("f").alias("fb"))
     edges = pairs.join(F.broadcast(fa), "a").join(F.broadcast(fb), "b").withColumn("log_dice", 14 + F.log2(2.0 * F.col("freq") / (F.col("fa") + F.col("fb"))))
     ends = edges.select("*", F.explode(F.array("a", "b")).alias("end"))

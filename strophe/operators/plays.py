@@ -56,16 +56,23 @@ def reach(plays: DataFrame, tokens: DataFrame, least_sec: float = 30.0) -> DataF
 
 
 def lines_heard(plays: DataFrame, lines: DataFrame) -> DataFrame:
-    """song_id and lines heard over all plays: those whose time lies between position - listened and position, ends included."""
-    rows = plays.join(lines.select("song_id", "time_sec"), "song_id")
-    return rows.where((F.col("time_sec") >= F.col("position_sec") - F.col("listened_sec")) & (F.col("time_sec") <= F.col("position_sec"))).groupBy("song_id").agg(F.count("*").alias("lines_heard"))
+    """song_id and lines heard over all plays: those whose time lies between position - listened and position, ends included.
+
+    A play meets its song's times as one array and counts in its own row, so plays and lines never multiply to rows.
+    """
+    times = lines.where("time_sec IS NOT NULL").groupBy("song_id").agg(F.collect_list("time_sec").alias("_times"))  # one song's lines
+    rows = plays.join(times, "song_id")
+    heard = F.size(F.filter("_times", lambda t: (t >= F.col("position_sec") - F.col("listened_sec")) & (t <= F.col("position_sec"))))
+    return rows.groupBy("song_id").agg(F.sum(heard.cast("long")).alias("lines_heard")).where("lines_heard > 0")
 
 
 def line_at(plays: DataFrame, lines: DataFrame) -> DataFrame:
     """id and the line sung at the play's position: the last one that starts at or before it, in line order of equal times."""
-    rows = plays.join(lines.select("song_id", "line_idx", "time_sec", "text"), "song_id").where(F.col("time_sec") <= F.col("position_sec"))
-    order = F.struct("time_sec", "line_idx")
-    return rows.groupBy("id").agg(F.max_by("line_idx", order).alias("line_idx"), F.max_by("text", order).alias("text"))
+    starts = lines.where("time_sec IS NOT NULL").groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("time_sec", "line_idx"))).alias("_starts"))  # one song's lines
+    at = F.get(F.filter("_starts", lambda s: s["time_sec"] <= F.col("position_sec")), F.size(F.filter("_starts", lambda s: s["time_sec"] <= F.col("position_sec"))) - 1)
+    rows = plays.join(starts, "song_id").select("id", "song_id", at["time_sec"].alias("time_sec"), at["line_idx"].alias("line_idx")).where("line_idx IS NOT NULL")
+    said = lines.select("song_id", "line_idx", "time_sec", "text")
+    return rows.join(said, ["song_id", "line_idx", "time_sec"]).groupBy("id").agg(F.max("line_idx").alias("line_idx"), F.max("text").alias("text"))
 
 
 def sessions(plays: DataFrame, gap_sec: int = 1800) -> DataFrame:

@@ -49,9 +49,9 @@ def er_contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def er_title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct page titles by the ladder of scores; tests compare with all pairs."""
+    """Page titles by the ladder of scores, each with itself and with the titles after it; tests compare with all pairs."""
     keys = names.normalized(page_tracks(spark, sf_dir).select("title"), "title", "title").select("title_key", "title_base").distinct()
-    pairs = matching.title_pairs(keys, keys).where("want_key < got_key")
+    pairs = matching.title_pairs(keys, keys).where("want_key <= got_key")
     sides = [keys.select(*[F.col(c).alias(f"{s}_{c}") for c in keys.columns]) for s in ("want", "got")]
     met = pairs.join(sides[0], F.col("want_key") == F.col("want_title_key")).join(sides[1], F.col("got_key") == F.col("got_title_key"))
     out = met.select("want_key", "got_key", F.round(matching.title_similarity("want_title", "got_title"), 4).alias("title_score"))

@@ -356,3 +356,13 @@ def test_next_later_line_equals_a_plain_walk(spark):
         lines = [r for r in rows if r[0] == s]
         for k, r in enumerate(lines):
             assert got[s, r[1]] == next((x[2] for x in lines[k + 1 :] if x[2] > r[2]), None)
+
+
+def test_lines_move_before_they_are_taken_apart(spark):
+    lines = spark.createDataFrame([(1, 0, "a-b c"), (1, 1, "a-b c"), (1, 2, " "), (1, 3, "...")], "song_id long, line_idx long, text string")
+    out = stream.stream(lines)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan[plan.index("Window") :]
+    assert [tuple(r) for r in out.orderBy("line_idx", "idx").select("line_idx", "idx", "token_idx", "surface", "repeat", "gap_before").collect()] == [
+        (n, i, t, s, n == 1, g) for n in (0, 1) for i, t, s, g in ((0, 0, "a", False), (1, 2, "b", True), (2, 3, "c", False))
+    ]

@@ -120,3 +120,16 @@ def test_spans(spark):
     got = {tuple(r) for r in dictionary.spans_of(spark.createDataFrame([(1, surfaces)], "k int, surfaces array<string>"), ["k"]).collect()}
     want = {(1, a, b, "".join(surfaces[a:b])) for a, b in itertools.combinations(range(len(surfaces) + 1), 2) if surfaces[a] and len("".join(surfaces[a:b])) <= 16}
     assert got == want
+
+
+def test_occurrences_go_from_the_targets_back(spark, monkeypatch):
+    flags = inflection.condition_flags(inflection.ENGLISH_CONDITIONS)
+    rules, targets = inflection.english_rules(spark), spark.createDataFrame([("bake", flags["any"]), ("stable", flags["n"]), ("use", flags["v"]), ("y" * 16, 0)], "target string, term_conditions long")
+    back = {tuple(r) for r in dictionary.inflections(targets, rules).collect()}
+    words = spark.createDataFrame([(w,) for w in {w for w, _ in back} | {"bakings", "bakely", "users", "stables", "stabler", "usely", "usesed", "y" * 17}], "word string")
+    forms = dictionary.deinflected(words, rules).join(targets, F.col("form") == F.col("target")).where("conditions = 0 OR conditions & term_conditions <> 0")
+    assert back == {tuple(r) for r in forms.select("word", "target").distinct().collect() if len(r.word) <= 16} and {("bakings", "bake"), ("stables", "stable"), ("users", "use")} <= back
+    monkeypatch.setattr(dictionary, "deinflected", None)  # not each run of tokens' forms
+    lines = spark.createDataFrame([(1, ["baking", "us", "ed", "stab", "les", None, "used"])], "line int, surfaces array<string>")
+    got = sorted(tuple(r) for r in dictionary.occurrences(lines, targets, rules, ["line"], processors=()).collect())
+    assert got == [(1, "bake", 0, 1), (1, "stable", 3, 6), (1, "use", 1, 3), (1, "use", 6, 7)]

@@ -144,9 +144,9 @@ def may_hold(text: Column, attribute: str, value: str) -> Column:
     return F.lower(text).contains(value) if attribute == "lemma" else text.contains(value) if attribute == "surface" else F.lit(True)
 
 
-def pattern_search(lines: DataFrame, items: list[Item], dedup: bool = False, limit: int | None = None) -> DataFrame:
+def pattern_search(lines: DataFrame, items: list[Item], dedup: bool = False, limit: int | None = None, overlap: bool = False) -> DataFrame:
     """Runs of tokens that meet ``items`` one after the other: song_id, artist, line_idx, start, length, matched; the longest at each place, from
-    left to right without overlap.
+    left to right without overlap. With ``overlap`` every place where a run begins counts, also within another one.
 
     Each token is written as the letter of the conditions that it meets, and the items are a regular expression over these. Words that have to be there are looked for in the raw text first, so that only
     lines that may hold them are taken apart. ``dedup`` takes equal lines of a song once. Items that could all be missing are refused.
@@ -168,10 +168,15 @@ def pattern_search(lines: DataFrame, items: list[Item], dedup: bool = False, lim
     pattern = "".join(f"[{''.join(c for n, c in enumerate(letters) if n >> k & 1)}]{bounds(i)}" for k, i in enumerate(items))
     rows = rows.withColumn("_line", F.array_join(F.transform("tokens", lambda t: F.substring(F.lit("".join(letters)), number(t) + 1, F.lit(1))), ""))
     rows = rows.where(F.col("_line").rlike(pattern))
-    group = lambda n: F.transform(F.regexp_extract_all("_line", F.lit(f"(.*?)({pattern})"), F.lit(n)), F.length)
-    pairs = F.zip_with(group(1), group(2), lambda before, n: F.struct(before.alias("before"), n.alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("found"))
-    placed = F.aggregate(pairs, start, lambda a, p: F.struct((a["at"] + p["before"] + p["n"]).alias("at"), F.concat(a["found"], F.array(F.struct((a["at"] + p["before"]).alias("start"), p["n"].alias("n")))).alias("found")))["found"]
+    if overlap:
+        # one match a place: what begins there, looked ahead at, or a letter with nothing
+        runs = F.transform(F.regexp_extract_all("_line", F.lit(f"(?=({pattern}))|."), F.lit(1)), lambda run, i: F.struct(i.alias("start"), F.length(run).alias("n")))
+        placed = F.filter(runs, lambda m: m["n"] > 0)
+    else:
+        group = lambda n: F.transform(F.regexp_extract_all("_line", F.lit(f"(.*?)({pattern})"), F.lit(n)), F.length)
+        pairs = F.zip_with(group(1), group(2), lambda before, n: F.struct(before.alias("before"), n.alias("n")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("found"))
+        placed = F.aggregate(pairs, start, lambda a, p: F.struct((a["at"] + p["before"] + p["n"]).alias("at"), F.concat(a["found"], F.array(F.struct((a["at"] + p["before"]).alias("start"), p["n"].alias("n")))).alias("found")))["found"]
     hits = rows.select("song_id", "artist", "line_idx", "tokens", F.explode(placed).alias("m"))
     matched = F.array_join(F.transform(F.slice("tokens", F.col("m.start") + 1, F.col("m.n")), lambda t: t["surface"]), " ")
     found = hits.select("song_id", "artist", "line_idx", F.col("m.start").cast("long").alias("start"), F.col("m.n").cast("long").alias("length"), matched.alias("matched"))

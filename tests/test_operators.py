@@ -163,6 +163,15 @@ def test_token_patterns_by_words(spark, mini):
     assert search.pattern_search(mini, [search.word("wind")], dedup=True).count() <= search.pattern_search(mini, [search.word("wind")]).count()
 
 
+def test_token_patterns_within_one_another(spark):
+    rows = spark.createDataFrame([(1, "a", 0, "worthless worthless worthless, night in worthless"), (1, "a", 1, "go in")], "song_id long, artist string, line_idx long, text string")
+    places = lambda items, **how: sorted((r.start, r.length, r.matched) for r in search.pattern_search(rows, items, **how).collect())
+    two = [search.word("worthless"), search.Item(lambda t: t["pos"] == "NOUN")]
+    assert places(two) == [(0, 2, "worthless worthless")]
+    assert places(two, overlap=True) == [(0, 2, "worthless worthless"), (1, 2, "worthless worthless")]
+    assert places([search.word("worthless", most=None)], overlap=True) == [(0, 3, "worthless worthless worthless"), (1, 2, "worthless worthless"), (2, 1, "worthless"), (6, 1, "worthless")]
+
+
 @pytest.mark.parametrize("items", [[], [search.ANY], [search.word("a", least=3, most=2)], [search.word("a", least=0)], [search.word("a")] * 11])
 def test_bad_token_patterns(mini, items):
     with pytest.raises(ValueError):

@@ -375,3 +375,21 @@ def test_lines_move_before_they_are_taken_apart(spark):
     assert [tuple(r) for r in out.orderBy("line_idx", "idx").select("line_idx", "idx", "token_idx", "surface", "repeat", "gap_before").collect()] == [
         (n, i, t, s, n == 1, g) for n in (0, 1) for i, t, s, g in ((0, 0, "a", False), (1, 2, "b", True), (2, 3, "c", False))
     ]
+
+
+def test_token_table_keeps_songs_whole(spark, sf_dir):
+    from strophe.sources import token_table
+
+    files = token_table.token_table(spark, sf_dir).select("song_id", F.col("_metadata.file_path").alias("f")).distinct()
+    assert files.groupBy("song_id").count().where("count > 1").isEmpty() and files.select("f").distinct().count() > 1
+
+
+def test_stream_of_signs_and_other_scripts(spark):
+    from strophe.plans import scope
+
+    lines = spark.createDataFrame([(1, "s", "x", 0, "Aé1, 12 -- 猫 is, 😀  x"), (1, "s", "x", 1, " ... "), (1, "s", "x", 2, "Aé1, 12 -- 猫 is, 😀  x")], "song_id long, artist string, language string, line_idx long, text string")
+    rows = [(r.line_idx, r.idx, r.token_idx, r.surface, r.lemma, r.pos, r.repeat, r.gap_before) for r in stream.stream(lines).orderBy("line_idx", "idx").collect()]
+    one = [(0, 0, "Aé1", "aé1", "ADP", False), (1, 2, "12", "12", "NUM", True), (2, 5, "猫", "猫", "ADP", True), (3, 6, "is", "is", "ADP", False), (4, 10, "x", "x", "ADP", True)]
+    assert rows == [(n, *r[:5], n == 2, r[5]) for n in (0, 2) for r in one]
+    jp = stream.stream(lines, scope.Scope(jp_only=True)).where("line_idx = 0").collect()
+    assert [(r.idx, r.token_idx, r.surface, r.gap_before) for r in jp] == [(0, 5, "猫", False)]

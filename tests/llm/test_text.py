@@ -260,6 +260,15 @@ def test_line_dedup_odd_rows(docs_of, odd_rows, prose):
     assert line_dedup.dedup_lines(docs_of([])).count() == 0
 
 
+def test_frequent_runs_are_counted_over_all_lines(docs_of):
+    often = lambda k: "of all that is" if k % 40 == 0 else "on a very good" if k % 500 == 0 else f"u{k} v{k} w{k} x{k}"
+    docs = docs_of([(k, f"{often(k + 1)} y{k} z{k} q{k}") for k in range(12_000)])
+    rare = int(line_dedup.RARE_SHARE * 12_000)
+    counts = line_dedup.with_runs(line_dedup.split_lines(docs)).select(F.explode("runs").alias("x")).groupBy("x").count().where(F.col("count") > rare).collect()
+    table = line_dedup.frequencies(docs)
+    assert {r["count"] for r in counts} == {300} and {r["x"] % line_dedup.TABLE: (300 // rare).bit_length() for r in counts} == {k: n for k, n in enumerate(table) if n}
+
+
 def test_simhash_by_definition(docs_of, prose):
     docs = docs_of([(1, prose(3, 64)), (2, prose(4, 400).replace("\n", " ")), (3, "of it to be or no")])
     rows = line_dedup.split_lines(docs).select("k1", F.split("norm", " ").alias("w"))

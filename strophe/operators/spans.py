@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 #: Milliseconds by which a line may begin after the song's end.
 OVER_DURATION = 2_000
+#: Rows of a batch of tokens.
+ROWS = 65_536
 # Signs that no one sings, besides blanks and ASCII punctuation.
 SILENT = "、。！？「」『』（）［］【】〈〉《》〔〕…‥—―〜～・：；，．“”‘’"
 SEPARATORS = rf"(?U)^[\s!-/:-@\[-`{{-~{SILENT}]*$"
 
-SPAN = ArrayType(StructType().add("start", LongType()).add("stop", LongType()))
-
 
 # ---- tokens against tokens ----
 
@@ -31,12 +34,6 @@ def spans_of(text: str, surfaces: list[str]) -> list[dict | None]:
     return out
 
 
-@F.pandas_udf(SPAN)
-def token_spans(text: pd.Series, surfaces: pd.Series) -> pd.Series:
-    """Characters (from 0, stop exclusive) of each token of a line; null for those that aren't there."""
-    return pd.Series([None if t is None or s is None else spans_of(t, list(s)) for t, s in zip(text, surfaces, strict=True)])
-
-
 def aligned_offsets(text: Column, surfaces: Column) -> Column:
     """Where each token begins, if all are found one after the other with nothing but blanks between; else null. Empty tokens stand where the next may begin."""
     return _offsets(text, surfaces)
@@ -58,40 +55,106 @@ def _offsets(text: pd.Series, surfaces: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or s is None else each(t, list(s)) for t, s in zip(text, surfaces, strict=True)])
 
 
-@F.pandas_udf(ArrayType(StructType().add("first", LongType()).add("last", LongType()).add("same", LongType())))
-def overlaps(ours: pd.Series, theirs: pd.Series) -> pd.Series:
-    """For each of our spans the first and last of their spans that share a character with it, and the one that is equal; null where there is none.
+def _texts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings one after the other, and where each begins (one more for the end)."""
+    strings = strings.cast(pa.large_string())
+    _, offsets, data = strings.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-    Spans ascend and don't overlap on either side, so one sweep does a line.
-    """
 
-    def each(a: list, b: list) -> Iterator[dict]:
-        b = [(k, s) for k, s in enumerate(b) if s is not None]
-        at = 0
-        for s in a:
-            if s is None:
-                yield {"first": None, "last": None, "same": None}
-                continue
-            while at < len(b) and b[at][1]["stop"] <= s["start"]:
-                at += 1
-            k = at
-            while k < len(b) and b[k][1]["start"] < s["stop"]:
-                k += 1
-            same = b[at][0] if k == at + 1 and b[at][1]["start"] == s["start"] and b[at][1]["stop"] == s["stop"] else None
-            yield {"first": b[at][0] if k > at else None, "last": b[k - 1][0] if k > at else None, "same": same}
-            at = max(at, k - 1)
+def _sums(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(values)])
 
-    return pd.Series([None if a is None or b is None else list(each(list(a), list(b))) for a, b in zip(ours, theirs, strict=True)])
 
+def _spans_of_all(texts: pa.Array, surfaces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``spans_of`` of all lines of a batch: start and stop (-1 where there is none) of each surface, and how many surfaces lines before have (one more for the end).
 
-def align_tokens(lines: DataFrame, key: list[str], ours: str, theirs: str) -> DataFrame:
+    Surfaces without blanks that make up a text but for its blanks stand where sums of lengths say; other lines are looked through one by one.
+    """
+    data, at = _texts(texts)
+    flat = surfaces.flatten()
+    firsts = _sums(pc.list_value_length(surfaces).to_numpy(zero_copy_only=False).astype(np.int64))
+    theirs, places = _texts(flat)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    solid = _sums(~blank)
+    here, there = solid[at], places[firsts]  # bytes that are no blanks, up to each line
+    fits = np.diff(here) == np.diff(there)
+    # bytes of lines that fit in length are compared, all at once
+    line = np.repeat(np.arange(len(texts)), np.diff(there))
+    equal = np.zeros(len(theirs), bool)
+    some = fits[line]
+    equal[some] = theirs[some] == data[~blank][(np.arange(len(theirs)) - there[line] + here[line])[some]]
+    fits[line[some & ~equal]] = False
+    begins = (data & 0xC0) != 0x80
+    letters = _sums(begins)
+    spot = (letters[:-1] - np.repeat(letters[at[:-1]], np.diff(at)))[begins & ~blank]  # the place in its line of each letter that is no blank
+    n = pc.fill_null(pc.utf8_length(flat), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
+    fits[owner[n == 0]] = False
+    solid_letters = _sums(begins & ~blank)[at]
+    sums = _sums(n)
+    first = (sums[:-1] - sums[firsts[owner]]) + solid_letters[owner]
+    start, stop = np.full(len(n), -1), np.full(len(n), -1)
+    whole = fits[owner]
+    start[whole], stop[whole] = spot[first[whole]], spot[first[whole] + n[whole] - 1] + 1
+    fits[owner[whole & (stop - start != n)]] = False  # a blank lies within a surface
+    for k in np.flatnonzero(~fits):
+        found = spans_of(texts[k].as_py(), surfaces[k].as_py())
+        start[firsts[k] : firsts[k + 1]] = [-1 if s is None else s["start"] for s in found]
+        stop[firsts[k] : firsts[k + 1]] = [-1 if s is None else s["stop"] for s in found]
+    return start, stop, firsts
+
+
+def _aligned(key: list[str], carried: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *keys, texts, ours, theirs = batch.columns[: len(key) + 3]
+            start, stop, firsts = _spans_of_all(texts, ours)
+            begin, end, others = _spans_of_all(texts, theirs)
+            lines = lambda firsts: np.repeat(np.arange(len(batch)), np.diff(firsts))
+            mine, base = lines(firsts), _sums(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            # spans ascend within a line and from line to line, so places among all that are there are found by bisection
+            there = np.flatnonzero(begin >= 0)
+            shift = base[lines(others)[there]]
+            left, right = np.searchsorted(end[there] + shift, start + base[mine], "right"), np.searchsorted(begin[there] + shift, stop + base[mine], "left") - 1
+            missing = start < 0
+            none = missing | (left > right)
+            first, last = (there[np.where(none, 0, x)] if len(there) else np.zeros(len(start), np.int64) for x in (left, right))
+            differs = none | (first != last)
+            if len(there):
+                differs |= (begin[first] != start) | (end[first] != stop)
+            number = lambda values, gone: pa.array(values - others[mine], pa.int64(), mask=gone)
+            columns = [
+                *[k.take(pa.array(mine)) for k in keys], pa.array(np.arange(len(mine)) - firsts[mine], pa.int64()), ours.flatten(), pa.array(start, pa.int64(), mask=missing), pa.array(stop, pa.int64(), mask=missing),
+                number(first, none), number(last, none), number(first, differs),
+            ]
+            names = [*key, "idx", "surface", "start", "stop", "first", "last", "same"]
+            if carried:
+                columns.append(batch.column(len(key) + 3).flatten().take(pa.array(first, mask=differs)))
+                names.append("carried")
+            out = pa.RecordBatch.from_arrays(columns, names)
+            for at in range(0, len(out), ROWS):
+                yield out.slice(at, ROWS)
+
+    return aligned
+
+
+def align_tokens(lines: DataFrame, key: list[str], ours: str, theirs: str, carried: str | None = None) -> DataFrame:
     """``key``, idx, surface, start, stop, first, last, same: each of our tokens of a line with the range of theirs that it overlaps and the equal one.
 
     ``lines`` has text and the two tokenisations as arrays of surfaces. Tokens that the text doesn't hold have nulls; lines without text or tokens have no rows.
+    ``carried`` is an array of what goes with each of their tokens: the equal one's is one more column, of that name.
     """
-    rows = lines.select(*key, F.col(ours).alias("_a"), token_spans("text", ours).alias("_x"), token_spans("text", theirs).alias("_y"))
-    rows = rows.select(*key, F.posexplode(F.arrays_zip(F.col("_a").alias("surface"), F.col("_x").alias("span"), overlaps("_x", "_y").alias("to"))).alias("idx", "t"))
-    return rows.select(*key, F.col("idx").cast("long").alias("idx"), "t.surface", "t.span.start", "t.span.stop", "t.to.first", "t.to.last", "t.to.same")
+    rows = lines.where(F.col("text").isNotNull() & F.col(ours).isNotNull() & F.col(theirs).isNotNull())
+    rows = rows.select(*key, "text", F.col(ours).alias("_ours"), F.col(theirs).alias("_theirs"), *([F.col(carried).alias("_carried")] if carried else []))
+    schema = StructType([rows.schema[k] for k in key]).add("idx", LongType()).add("surface", rows.schema["_ours"].dataType.elementType)
+    for c in ("start", "stop", "first", "last", "same"):
+        schema = schema.add(c, LongType())
+    if carried:
+        schema = schema.add("carried", rows.schema["_carried"].dataType.elementType)
+    out = rows.mapInArrow(_aligned(key, carried is not None), schema)
+    return out.withColumnRenamed("carried", carried) if carried else out
 
 
 def annotate(lines: DataFrame, key: list[str], surfaces: str, analysed: str, alone: DataFrame) -> DataFrame:
@@ -101,9 +164,9 @@ def annotate(lines: DataFrame, key: list[str], surfaces: str, analysed: str, alo
     ``alone`` (surface, morph) says of its surface by itself ("alone"), else none ("unknown").
     """
     rows = lines.withColumn("_theirs", F.filter(F.col(analysed), lambda t: F.trim(t["surface"]) != ""))
-    met = align_tokens(rows.withColumn("_surfaces", F.col("_theirs")["surface"]), key, surfaces, "_surfaces").join(rows.select(*key, "_theirs"), key)
-    met = met.withColumn("_morph", F.get("_theirs", F.col("same").cast("int"))["morph"]).drop("_theirs")
-    known = alone.groupBy(F.col("surface").alias("_alone")).agg(F.min("morph").alias("_by_itself"))
+    met = align_tokens(rows.withColumns({"_surfaces": F.col("_theirs")["surface"], "_morph": F.col("_theirs")["morph"]}), key, surfaces, "_surfaces", "_morph")
+    # words are few beside tokens, so these need not be sorted
+    known = alone.groupBy(F.col("surface").alias("_alone")).agg(F.min("morph").alias("_by_itself")).hint("shuffle_hash")
     met = met.join(known, F.col("surface") == F.col("_alone"), "left")
     how = F.when(F.col("same").isNotNull(), "context").when(F.col("_alone").isNotNull(), "alone").otherwise("unknown")
     return met.select(*key, "idx", "surface", F.when(F.col("same").isNotNull(), F.col("_morph")).otherwise(F.col("_by_itself")).alias("morph"), how.alias("how"))

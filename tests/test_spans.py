@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,27 @@ def test_alignment_equals_plain_search(spark):
     assert [(r.surface, r.start) for r in rows if r.k == 103] == [("", None), ("aa", 0)]
 
 
+def test_spans_of_all_lines_of_a_batch_are_those_of_each():
+    rng = random.Random(7)
+    texts = ["a b", "ab", " a  b ", "", "夜 é𝄞x", "aa a", "a\u00a0b", "ab ab", "x"]
+    surfaces = [["ab"], ["a", "", "b"], ["a", "b"], [], ["夜", "é", "𝄞x"], ["a", "a", "a"], ["a\u00a0b"], ["a", "b", "b", "a"], [None, "x"]]
+    for _ in range(200):
+        texts.append("".join(rng.choice("ab é夜 \t") for _ in range(rng.randint(0, 20))))
+        surfaces.append(texts[-1].split() if rng.random() < 0.7 else [rng.choice(["a", "b a", "é", ""]) for _ in range(rng.randint(0, 5))])
+    start, stop, firsts = spans._spans_of_all(pa.array(["skipped", *texts]).slice(1), pa.array([["s"], *surfaces]).slice(1))
+    for k, (text, tokens) in enumerate(zip(texts, surfaces, strict=True)):
+        here = slice(firsts[k], firsts[k + 1])
+        want = [(-1, -1) if s is None else (s["start"], s["stop"]) for s in spans.spans_of(text, tokens)]
+        assert list(zip(start[here].tolist(), stop[here].tolist(), strict=True)) == want
+
+
+def test_annotate_takes_each_of_two_lines_of_one_key_by_itself(spark):
+    frame = spark.createDataFrame([(1, "a b", ["a", "b"], [("a", "x")]), (1, "a c", ["a"], [("a", "y")])], "k int, text string, old array<string>, new array<struct<surface:string,morph:string>>")
+    alone = spark.createDataFrame([("b", "z")], "surface string, morph string")
+    got = sorted((r.idx, r.surface, r.morph, r.how) for r in spans.annotate(frame, ["k"], "old", "new", alone).collect())
+    assert got == [(0, "a", "x", "context"), (0, "a", "y", "context"), (1, "b", "z", "alone")]
+
+
 def test_offsets_allow_only_blanks_between(spark):
     rows = [("君 の　名は", ["君", "の", "名は"]), ("a-b", ["a", "b"]), ("ab", ["a", "", "b"]), ("", []), ("x", ["xyz"]), (None, ["a"]), ("aab", ["ab"])]
     got = [r[0] for r in spark.createDataFrame(rows, "t string, s array<string>").coalesce(1).select(spans.aligned_offsets(F.col("t"), F.col("s"))).collect()]

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from strophe.functions import text as X
 from strophe.plans import stream as S
+from strophe.plans.rounds import settled
 
 FIELDS = ("surface", "lemma", "pos")
+#: A count of passages' sequences up to which they are broadcast (some 30 MB); beyond it the join is shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def matches_at(i: Column, words: tuple[str, ...], attribute: str) -> Column:
@@ -223,17 +226,19 @@ def full_text(lines: DataFrame, phrase: str, limit: int | None = None, k1: float
 def known_passages(lines: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
     """Which songs hold ``words`` words in a row of which passages: song_id, item_id, shared (different sequences).
 
-    Both sides are hashed sequences, so it is an equi-join on what they share, never a scan of every pair.
+    An equi-join on the sequences that both sides share, never a scan of every pair. Passages are counted first: few are looked up where the lines are, so that only sequences that are found move;
+    beyond BROADCAST_ROWS sequences both sides are shuffled.
     """
 
-    def hashed(rows: DataFrame, key: str) -> DataFrame:
+    def sequences(rows: DataFrame, key: str) -> DataFrame:
         w = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
         rows = rows.select(key, w.alias("w")).where(F.size("w") >= words)
         grams = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.array_join(F.slice("w", i + 1, words), " "))
         return rows.select(key, F.explode(F.array_distinct(grams)).alias("g"))
 
-    there = hashed(passages, "item_id").distinct()
-    return hashed(lines, "song_id").distinct().join(there, "g").groupBy("song_id", "item_id").agg(F.count("*").alias("shared"))
+    there, here = settled(sequences(passages, "item_id").distinct()), sequences(lines, "song_id")
+    met = here.join(F.broadcast(there), "g").distinct() if there.count() <= BROADCAST_ROWS else here.distinct().join(there, "g")
+    return met.groupBy("song_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 def quick_search(songs: DataFrame, people: DataFrame, albums: DataFrame, words: DataFrame, lines: DataFrame, query: str, per_kind: int = 10) -> DataFrame:

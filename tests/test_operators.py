@@ -393,3 +393,14 @@ def test_stream_of_signs_and_other_scripts(spark):
     assert rows == [(n, *r[:5], n == 2, r[5]) for n in (0, 2) for r in one]
     jp = stream.stream(lines, scope.Scope(jp_only=True)).where("line_idx = 0").collect()
     assert [(r.idx, r.token_idx, r.surface, r.gap_before) for r in jp] == [(0, 5, "猫", False)]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_known_passages_whether_they_are_broadcast_or_not(spark, monkeypatch, most):
+    monkeypatch.setattr(search, "BROADCAST_ROWS", most)
+    lines = spark.createDataFrame([(1, "A b c d e"), (1, "x a b, c D"), (2, "b c d"), (3, "a b"), (4, None)], "song_id long, text string")
+    passages = spark.createDataFrame([(7, "a b c d"), (8, "c d e f; b c d"), (9, "q")], "item_id long, text string")
+    out = search.known_passages(lines, passages, 3)
+    assert sorted(map(tuple, out.collect())) == [(1, 7, 2), (1, 8, 2), (2, 7, 1), (2, 8, 1)]
+    # few passages: lines' sequences are looked up before they move
+    assert ("BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()) == (most > 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import inflection
 from strophe.operators import dictionary, morphology
+from strophe.plans.rounds import settled
 from strophe.queries import query, rounded, tokens
 from strophe.queries_words import ACCENTED, FORMS_SQL, PLAIN, TOK
 
@@ -17,14 +18,20 @@ base AS (SELECT word, arg_min(form, step) AS form, arg_min(names, step) AS names
 t AS MATERIALIZED (SELECT k.song_id, k.lemma, k.surface, k.pos, CASE WHEN b.word IS NULL THEN '' ELSE 'regular' END AS ctype, coalesce(array_to_string(list_reverse(b.names), '-'), '') AS cform, translate(k.lemma, '{ACCENTED}', '{PLAIN}') AS reading, coalesce(b.form, k.lemma) AS normalized FROM kept k LEFT JOIN base b ON b.word = k.lemma)"""
 
 
+def tagged_words(t: DataFrame) -> DataFrame:
+    """lemma and TAGS: each word of the tokens ``t`` with the nearest one that its endings lead back to as what it is a form of."""
+    words = settled(t.groupBy("lemma").agg(F.count("*").alias("n")))
+    known = words.where("n >= 2").select(F.col("lemma").alias("form"))
+    forms = dictionary.deinflected(words.select(F.col("lemma").alias("word")), inflection.english_rules(t.sparkSession)).where((F.col("place") > 0) & (F.length("form") >= 3))
+    base = forms.join(known, "form").groupBy("word").agg(F.min_by(F.struct("form", F.array_join(F.reverse(dictionary.rule_names(F.col("trace"))), "-").alias("names")), "place").alias("b"))
+    words = words.select("lemma").join(base, F.col("lemma") == F.col("word"), "left")
+    return words.select("lemma", F.when(F.col("b").isNull(), "").otherwise("regular").alias("ctype"), F.coalesce("b.names", F.lit("")).alias("cform"), F.translate("lemma", ACCENTED, PLAIN).alias("reading"), F.coalesce("b.form", "lemma").alias("normalized"))
+
+
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens with the nearest word of the documents that their endings lead back to as what they are a form of."""
+    """The documents' tokens with what ``tagged_words`` says of them."""
     t = tokens(spark, sf_dir)
-    known = t.groupBy("lemma").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("lemma").alias("form"))
-    forms = dictionary.deinflected(t.select(F.col("lemma").alias("word")), inflection.english_rules(spark)).where((F.col("place") > 0) & (F.length("form") >= 3))
-    base = forms.join(known, "form").groupBy("word").agg(F.min_by(F.struct("form", F.array_join(F.reverse(dictionary.rule_names(F.col("trace"))), "-").alias("names")), "place").alias("b"))
-    words = t.select("lemma").distinct().join(base, F.col("lemma") == F.col("word"), "left")
-    return morphology.tagged(t, words.select("lemma", F.when(F.col("b").isNull(), "").otherwise("regular").alias("ctype"), F.coalesce("b.names", F.lit("")).alias("cform"), F.translate("lemma", ACCENTED, PLAIN).alias("reading"), F.coalesce("b.form", "lemma").alias("normalized")))
+    return morphology.tagged(t, tagged_words(t))
 
 
 @query(TAGGED_SQL + """,
@@ -41,7 +48,8 @@ def corp_inflection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(TAGGED_SQL + " SELECT song_id, count(*) AS tokens, count(DISTINCT lemma) AS lemmas FROM t WHERE starts_with(cform, '-ing') GROUP BY song_id")
 def flt_cform_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document whose form begins with -ing."""
-    return morphology.with_form(tagged(spark, sf_dir), "-ing").groupBy("song_id").agg(F.count("*").alias("tokens"), F.count_distinct("lemma").alias("lemmas"))
+    t = tokens(spark, sf_dir)
+    return morphology.form_counts(t, tagged_words(t), "-ing")
 
 
 def accents(word: Column) -> Column:
@@ -60,4 +68,5 @@ h AS (SELECT *, count(*) OVER p AS forms, sum(freq) OVER p AS all_freq, bool_or(
 SELECT h.word AS normalized, h.pos, coalesce(r.reading, '') AS reading, lemma, freq, songs, any_merged AS merged FROM h LEFT JOIN r ON r.word = h.word AND r.pos = h.pos AND r.ctype = h.ctype AND r.nth = 1 WHERE forms >= 2 AND all_freq >= 5""")
 def corp_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spellings of the documents' words; words without accents go to the one word with accents that they read like."""
-    return morphology.spellings(tagged(spark, sf_dir), written=accents)
+    t = tokens(spark, sf_dir)
+    return morphology.word_spellings(t, tagged_words(t), written=accents)

@@ -235,6 +235,18 @@ def test_lines_left_out_by_a_block_head_are_compared(docs_of, spark):
     assert closed(found, names) == closed(similar_pairs(names), names)
 
 
+def test_long_lines_of_a_common_run_that_have_other_words_are_not_verified(docs_of, spark, monkeypatch):
+    rng, met = random.Random(23), []
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(4000)]
+    passage = rng.choices(vocabulary, k=40)
+    lines = [passage + rng.choices(vocabulary, k=120) for _ in range(12)]
+    lines.append([*lines[0][:-9], *lines[1][-9:]])
+    plain = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *more: met.append(pairs.distinct().count()) or plain(pairs, *more))
+    found, names = linked_pairs(docs_of([(k, " ".join(w)) for k, w in enumerate(lines)]))
+    assert {frozenset(p) for p in found} == {frozenset((" ".join(lines[0]), " ".join(lines[-1])))} and sum(met) < 5
+
+
 def test_hot_lines_are_dealt_once(docs_of, spark, prose):
     line = " ".join(prose(3, 30).split())
     rows = [(k, f"{line}\n{prose(k + 100, 12)}") for k in range(150)] + [(200, line.rsplit(" ", 1)[0] + " other")]

@@ -404,3 +404,13 @@ def test_known_passages_whether_they_are_broadcast_or_not(spark, monkeypatch, mo
     assert sorted(map(tuple, out.collect())) == [(1, 7, 2), (1, 8, 2), (2, 7, 1), (2, 8, 1)]
     # few passages: lines' sequences are looked up before they move
     assert ("BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()) == (most > 0)
+
+
+def test_counts_within_songs_and_lines_move_no_tokens(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from strophe.sources import token_table
+
+    tokens = token_table.token_table(spark, sf_dir)
+    for rows in (tokens.groupBy("lemma", "song_id").count(), tokens.withColumn("next", F.lead("lemma").over(Window.partitionBy("song_id", "line_idx").orderBy("idx")))):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
